@@ -5,7 +5,7 @@ from __future__ import annotations
 import itertools
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.text import normal, strip
@@ -25,12 +25,21 @@ def is_text(value: Column) -> Column:
     return F.schema_of_variant(value) == "STRING"
 
 
-def text_at(doc: Column, *keys: str | int) -> Column:
+def text_of(value: Column) -> Column:
     """The value if it is a JSON string, else null: numbers and objects do not count as text."""
-    value = value_at(doc, *keys)
     return F.when(is_text(value), value.cast("string"))
 
 
+def text_at(doc: Column, *keys: str | int) -> Column:
+    return text_of(value_at(doc, *keys))
+
+
+def members(doc: Column, *names: str) -> Column:
+    """The named members of an object as a struct of values, read in one pass."""
+    shape = ", ".join(f"`{n}`: variant" for n in names)
+    return F.try_variant_get(doc, "$", f"struct<{shape}>")
+
+
 def field_at(doc: Column, path: str) -> Column:
     """Value at a dotted path, where a number is an object key or an array position.
 
@@ -71,6 +80,16 @@ def tag_at(tags: Column, key: str) -> Column:
     return strip(F.coalesce(from_object, from_pairs))
 
 
+def read_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add costly columns behind a one-element generator.
+
+    A plain projection may be copied into every filter that reads it, so that each row is parsed
+    several times. A generator is evaluated once per row and filters stay above it.
+    """
+    row = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
 def moment_of(value: Column, fallback: Column) -> Column:
     """A timestamp from RFC 3339 text or from seconds since 1970, else the fallback."""
     # Fixed value: the RFC 3339 form.

@@ -65,25 +65,32 @@ def name_uuid(name: Column) -> Column:
     return _dashed(hex32)
 
 
+# The accepted spellings of a UUID, in lower case.
+UUID_DASHED = r"^(?:urn:uuid:)?([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})$"
+UUID_BRACED = r"^\{([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})\}$"
+UUID_PLAIN = r"^([0-9a-f]{32})$"
+
+
+def is_uuid(raw: Column) -> Column:
+    low = F.lower(raw)
+    return any_of([low.rlike(form) for form in (UUID_DASHED, UUID_BRACED, UUID_PLAIN)])
+
+
 def canonical_uuid(raw: Column, missing: Column) -> Column:
     """A missing id becomes `missing`, a well-formed UUID its lower-case dashed form, and any
     other text a name UUID, so that a retry of the same payload keeps the same id."""
-    # The accepted spellings of a UUID.
-    dashed = r"^(?:urn:uuid:)?([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})$"
-    braced = r"^\{([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})\}$"
-    plain = r"^([0-9a-f]{32})$"
     low = F.lower(raw)
     return (
         F.when(raw.isNull() | (raw == ""), missing)
-        .when(low.rlike(dashed), F.regexp_extract(low, dashed, 1))
-        .when(low.rlike(braced), F.regexp_extract(low, braced, 1))
-        .when(low.rlike(plain), _dashed(low))
+        .when(low.rlike(UUID_DASHED), F.regexp_extract(low, UUID_DASHED, 1))
+        .when(low.rlike(UUID_BRACED), F.regexp_extract(low, UUID_BRACED, 1))
+        .when(low.rlike(UUID_PLAIN), _dashed(low))
         .otherwise(name_uuid(raw))
     )
 
 
-# Fixed value: a search word is a maximal run of letters and digits.
-WORD = r"[\p{L}\p{N}]+"
+# Fixed value: the characters of a search word.
+WORD_CHARACTER = r"[\p{L}\p{N}]"
 
 
 def has_word(low: Column, word: str) -> Column:
@@ -91,5 +98,4 @@ def has_word(low: Column, word: str) -> Column:
 
     The substring test is cheap and drops most rows before the regular expression runs.
     """
-    edge = r"[\p{L}\p{N}]"
-    return low.contains(word) & low.rlike(f"(?<!{edge}){word}(?!{edge})")
+    return low.contains(word) & low.rlike(f"(?<!{WORD_CHARACTER}){word}(?!{WORD_CHARACTER})")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewell.plans import analytics
+from tidewell.plans import analytics, ingest
 from tidewell.plans.registry import ORACLES, QUERIES
 
-AREAS = [analytics]
+AREAS = [analytics, ingest]
 
 __all__ = ["AREAS", "ORACLES", "QUERIES"]

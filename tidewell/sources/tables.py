@@ -161,3 +161,111 @@ def redelivered(rows: DataFrame) -> DataFrame:
     first = rows.withColumn("arrival", F.lit(0))
     again = rows.filter(F.col("ingest_id").endswith("0")).withColumn("arrival", F.lit(1))
     return first.unionByName(again)
+
+
+def raw_error_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as raw error-event payloads in the spellings that clients send."""
+    e = load(spark, sf_dir, "events")
+    n, user = F.col("event_id"), F.col("user_id").cast("string")
+    digest = F.md5(n.cast("string"))
+    dashed = F.regexp_replace(digest, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    seconds = F.concat(
+        F.floor(us / 1000000).cast("string"), F.lit("."), F.lpad((us % 1000000).cast("string"), 6, "0")
+    )
+
+    def case(index: Column, *texts: Column) -> Column:
+        out = F.lit("")
+        for i, text in enumerate(texts):
+            out = F.when(index == i, text).otherwise(out)
+        return out
+
+    parts = [
+        F.lit('{"event_id":"'),
+        case(n % 4, F.upper(dashed), F.concat(F.lit("evt-"), n), digest, F.concat(F.lit("urn:uuid:"), dashed)),
+        F.lit('","timestamp":'),
+        case(
+            n % 3,
+            F.concat(F.lit('"'), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"), F.lit('"')),
+            seconds,
+            F.lit('"soon"'),
+        ),
+        F.lit(',"level":"'), F.when(F.col("event_type") == "error", "error").otherwise("info"), F.lit('",'),
+        case(
+            n % 2,
+            F.concat(F.lit('"message":"'), F.col("event_type"), F.lit('",')),
+            F.concat(
+                F.lit('"exception":{"values":[{"type":"T-'), F.col("event_type"), F.lit('","value":"v'), user, F.lit('"}]},')
+            ),
+        ),
+        case(
+            F.col("user_id") % 4,
+            F.concat(F.lit('"user":{"id":" u'), user, F.lit(' ","email":"x@y"},')),
+            F.concat(F.lit('"user":{"id":5,"username":"n'), user, F.lit('"},')),
+            F.concat(F.lit('"user":{"email":"e'), user, F.lit('@x.io"},')),
+        ),
+        case(
+            n % 5,
+            F.concat(F.lit('"tags":{"device_id":" t'), user, F.lit(' "},')),
+            F.concat(F.lit('"tags":[["a","b"],["device_id",'), user, F.lit("]],")),
+            F.lit(""),
+            F.concat(F.lit('"extra":{"device_id":"x'), user, F.lit('"},')),
+        ),
+        F.lit('"contexts":{'),
+        F.when(n % 5 == 2, F.concat(F.lit('"device":{"id":"c'), user, F.lit('"},'))).otherwise(""),
+        F.lit('"os":{"name":" '), pick(OS_NAMES, F.col("user_id")), F.lit('"'),
+        F.when(F.col("user_id") % 3 != 2, F.concat(F.lit(',"version":"'), pick(OS_VERSIONS, F.col("user_id")), F.lit('"'))).otherwise(""),
+        F.lit('},"browser":{"name":"Chrome","version":"120"}},"platform":"web","release":"1.0","environment":"prod"}'),
+    ]
+    return e.select(
+        n.alias("n"),
+        F.lit(1).alias("project_id"),
+        F.lit("2024-02-01 00:00:00").cast("timestamp").alias("received"),
+        F.concat(*parts).alias("body"),
+    )
+
+
+def raw_log_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as queue messages, some of them unusable."""
+    e = load(spark, sf_dir, "events")
+    n, user = F.col("event_id"), F.col("user_id").cast("string")
+    when = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    payload = F.concat(
+        F.lit('{"level":" '), F.when(n % 3 == 0, "").when(n % 3 == 1, "event").otherwise("warn"),
+        F.lit(' ","message":"'), F.when(n % 7 == 0, "  ").otherwise(F.col("event_type")),
+        F.lit('","device_id":"'), F.when(n % 2 == 0, F.concat(F.lit(" d"), user)).otherwise(""),
+        F.lit('","trace_id":" t'), n.cast("string"), F.lit('","fields":{"device_id":"f'), user, F.lit('"}'),
+        F.when(n % 4 != 0, F.concat(F.lit(',"user":{"id":"u'), user, F.lit('"}'))).otherwise(""),
+        F.when(n % 5 != 0, F.concat(F.lit(',"timestamp":"'), when, F.lit('"'))).otherwise(""),
+        F.lit("}"),
+    )
+    kind = F.when(n % 11 == 10, "metric").when(n % 11 == 9, "event").otherwise("log")
+    value = F.concat(
+        F.lit('{"type":"'), kind, F.lit('","project_id":"'), (n % 13).cast("string"),
+        F.lit('","received":"2024-02-01T00:00:00Z","payload":'),
+        F.when(n % 17 == 16, '"text"').otherwise(payload),
+        F.lit(',"meta":{"client_ip":"'), client_ip(F.col("user_id")), F.lit('"}'),
+        F.when(n % 19 == 18, "").otherwise("}"),
+    )
+    return e.select(n.cast("string").alias("message_id"), value.alias("value"))
+
+
+def raw_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as error envelopes: plain, length-prefixed, without event, and broken ones."""
+    n, user = F.col("event_id"), F.col("user_id").cast("string")
+    head = F.concat(F.lit('{"event_id":"env'), n.cast("string"), F.lit('"}\n'))
+    event = F.concat(F.lit('{"message":"'), F.col("event_type"), F.lit('","user":{"id":"'), user, F.lit('é"}}'))
+    split_event = F.concat(F.lit('{"message":\n"'), F.col("event_type"), F.lit('","user":{"id":"'), user, F.lit('é"}}'))
+    size = F.octet_length(split_event).cast("string")
+    body = (
+        F.when(n % 6 == 0, F.concat(head, F.lit('{"type":"event"}\r\n'), event))
+        .when(
+            n % 6 == 1,
+            F.concat(head, F.lit('{"type":"event","length":'), size, F.lit("}\n"), split_event, F.lit('\n\n{"type":"session"}\n{}\n')),
+        )
+        .when(n % 6 == 2, F.concat(head, F.lit('{"type":"attachment","length":3}\nabc\n{"type":"event"}\n{bad\n')))
+        .when(n % 6 == 3, F.concat(head, F.lit('{"type":"event","length":-1}\n'), event))
+        .when(n % 6 == 4, F.concat(head, F.lit('{"type":"event","length":9999}\n'), event))
+        .otherwise(F.concat(F.lit(" \n"), event))
+    )
+    return load(spark, sf_dir, "events").select(n.alias("n"), body.alias("body"))
