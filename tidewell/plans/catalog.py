@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewell.plans import analytics, ingest
+from tidewell.plans import analytics, ingest, lifecycle, search
 from tidewell.plans.registry import ORACLES, QUERIES
 
-AREAS = [analytics, ingest]
+AREAS = [analytics, ingest, search, lifecycle]
 
 __all__ = ["AREAS", "ORACLES", "QUERIES"]
