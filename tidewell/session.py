@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str, master: str, shuffle_partitions: int) -> SparkSession:
@@ -46,3 +46,14 @@ def shared_dir(spark: SparkSession) -> str:
 def run_dir(spark: SparkSession, label: str) -> str:
     """A fresh sub-folder name for one run, so that runs never meet."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def written_once(df: DataFrame) -> DataFrame:
+    """Compute a frame once for several readers and keep it in the shared checkpoint folder.
+
+    Later stages read the files, so a lost executor costs no recomputation.
+    """
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    return df.checkpoint()

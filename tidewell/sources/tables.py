@@ -66,6 +66,7 @@ def error_events(spark: SparkSession, sf_dir: str, projects: int = 1) -> DataFra
         F.concat(F.lit("d"), user.cast("string")).alias("device_id"),
         os_text.alias("os"),
         pick(BROWSERS, user).alias("browser"),
+        *[F.lit("").alias(c) for c in ("platform", "release_tag", "environment", "user_id")],
         F.col("event_type").alias("title"),
         F.concat(
             F.lit('{"event_id":"'), F.col("event_id"), F.lit('","message":"'), F.col("event_type"),
