@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import and_
 
@@ -44,6 +45,14 @@ def like_pattern(q: str) -> str:
     return f"%{q.strip()}%"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed a single time, however often `use` reads it.
+
+    Common parts below a CASE branch are not shared by the code generator.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _dashed(hex32: Column) -> Column:
     cuts = [(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]
     return F.concat_ws("-", *[F.substring(hex32, start, size) for start, size in cuts])
@@ -51,42 +60,46 @@ def _dashed(hex32: Column) -> Column:
 
 def name_uuid(name: Column) -> Column:
     """UUID version 5 of a name in the all-zero namespace."""
-    digest = F.sha1(F.concat(F.unhex(F.lit("0" * 32)), F.encode(name, "UTF-8")))
-    variant_nibble = F.lower(
-        F.hex(F.conv(F.substring(digest, 17, 1), 16, 10).cast("int").bitwiseAND(3).bitwiseOR(8))
-    )
-    hex32 = F.concat(
-        F.substring(digest, 1, 12),
-        F.lit("5"),
-        F.substring(digest, 14, 3),
-        variant_nibble,
-        F.substring(digest, 18, 15),
-    )
-    return _dashed(hex32)
-
-
-# The accepted spellings of a UUID, in lower case.
-UUID_DASHED = r"^(?:urn:uuid:)?([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})$"
-UUID_BRACED = r"^\{([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})\}$"
-UUID_PLAIN = r"^([0-9a-f]{32})$"
-
-
-def is_uuid(raw: Column) -> Column:
-    low = F.lower(raw)
-    return any_of([low.rlike(form) for form in (UUID_DASHED, UUID_BRACED, UUID_PLAIN)])
-
-
-def canonical_uuid(raw: Column, missing: Column) -> Column:
-    """A missing id becomes `missing`, a well-formed UUID its lower-case dashed form, and any
-    other text a name UUID, so that a retry of the same payload keeps the same id."""
-    low = F.lower(raw)
-    return (
-        F.when(raw.isNull() | (raw == ""), missing)
-        .when(low.rlike(UUID_DASHED), F.regexp_extract(low, UUID_DASHED, 1))
-        .when(low.rlike(UUID_BRACED), F.regexp_extract(low, UUID_BRACED, 1))
-        .when(low.rlike(UUID_PLAIN), _dashed(low))
-        .otherwise(name_uuid(raw))
-    )
+
+    def spell(digest: Column) -> Column:
+        variant = F.translate(F.substring(digest, 17, 1), "0123456789abcdef", "89ab" * 4)
+        return F.concat(
+            F.substring(digest, 1, 8), F.lit("-"), F.substring(digest, 9, 4), F.lit("-5"),
+            F.substring(digest, 14, 3), F.lit("-"), variant, F.substring(digest, 18, 3), F.lit("-"),
+            F.substring(digest, 21, 12),
+        )
+
+    return once(F.sha1(F.concat(F.unhex(F.lit("0" * 32)), F.encode(name, "UTF-8"))), spell)
+
+
+# The dashed form of a UUID in lower case, and the other accepted spellings.
+UUID_FORM = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+URN_PREFIX, URN_LENGTH, BRACED_LENGTH, PLAIN_LENGTH = "urn:uuid:", 45, 38, 32
+
+
+def uuid_form(raw: Column) -> Column:
+    """The dashed lower-case form of a well-formed UUID, else null.
+
+    The length picks the spelling, so that each row meets one regular expression only.
+    """
+
+    def undecorated(low: Column) -> Column:
+        size = F.length(low)
+        return (
+            F.when(size == 36, low)
+            .when((size == URN_LENGTH) & low.startswith(URN_PREFIX), F.substring(low, 10, 36))
+            .when((size == BRACED_LENGTH) & low.startswith("{") & low.endswith("}"), F.substring(low, 2, 36))
+            .when(size == PLAIN_LENGTH, _dashed(low))
+        )
+
+    form = once(F.lower(raw), undecorated)
+    return once(form, lambda f: F.when(f.rlike(UUID_FORM), f))
+
+
+def canonical_uuid(raw: Column, form: Column, missing: Column) -> Column:
+    """The id of a row from the id a client sent and its `uuid_form`: `missing` if none was sent,
+    and a name UUID for other text, so that a retry of the same payload keeps the same id."""
+    return F.when(raw.isNull() | (raw == ""), missing).when(form.isNotNull(), form).otherwise(name_uuid(raw))
 
 
 # Fixed value: the characters of a search word.

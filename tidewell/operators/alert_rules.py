@@ -295,11 +295,7 @@ def fields_json() -> Column:
     added = F.transform_values("extra", lambda _, v: v.cast("variant"))
     kept = F.map_filter(_members(F.col("doc")), lambda k, _: ~F.map_contains_key("extra", k))
     merged = F.map_concat(kept, added)
-    return F.to_json(
-        F.map_from_entries(
-            F.transform(F.array_sort(F.map_keys(merged)), lambda k: F.struct(k, F.element_at(merged, k)))
-        )
-    )
+    return F.to_json(F.to_variant_object(merged))
 
 
 def with_notification(matched: DataFrame, prefix: str = "[alert]") -> DataFrame:

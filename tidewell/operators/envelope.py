@@ -78,7 +78,6 @@ def read_envelope(text: str) -> dict:
     return found
 
 
-@F.pandas_udf("event_id string, items int, event string, error string")
 def _read_envelopes(bodies: pd.Series) -> pd.DataFrame:
     rows = [read_envelope(body or "") for body in bodies]
     return pd.DataFrame(rows, columns=["event_id", "items", "event", "error"]).astype({"items": "int32"})
@@ -86,7 +85,8 @@ def _read_envelopes(bodies: pd.Series) -> pd.DataFrame:
 
 def parse_envelopes(df: DataFrame, body: str = "body") -> Split:
     """Add event_id, items and event (JSON text, null without a usable event item)."""
-    parsed = df.withColumn("_e", _read_envelopes(body))
+    read = F.pandas_udf(_read_envelopes, "event_id string, items int, event string, error string")
+    parsed = df.withColumn("_e", read(body))
     rows = parsed.filter(F.col("_e.error").isNull()).select(*df.columns, "_e.event_id", "_e.items", "_e.event")
     rejects = parsed.filter(F.col("_e.error").isNotNull()).select(*df.columns, F.col("_e.error").alias("reason"))
     return Split(rows, rejects)
@@ -102,7 +102,7 @@ def envelope_messages(envelopes: DataFrame, body: str = "body") -> DataFrame:
     doc = F.try_parse_json("event")
     has_id = F.schema_of_variant(F.try_variant_get(doc, "$.event_id", "variant")) == "STRING"
     inner = F.regexp_replace(F.col("event"), r"^\s*\{\s*", "")
-    lead = F.concat(F.lit('{"event_id":'), F.to_json(F.struct(eid.alias("v"))).substr(F.lit(6), F.length(eid) + 2))
+    lead = F.regexp_replace(F.to_json(F.struct(eid.alias("event_id"))), r"\}$", "")
     filled = F.when(inner.rlike(r"^\}"), F.concat(lead, inner)).otherwise(F.concat(lead, F.lit(","), inner))
     raw = F.to_json(F.struct(eid.alias("event_id"), F.col(body).alias("raw")))
     return envelopes.withColumns(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import identity
 from tidewell.functions.payload import members, moment_of, read_once, text_at, text_of
-from tidewell.functions.text import blank_to_null, canonical_uuid, is_uuid, name_uuid, present, strip
+from tidewell.functions.text import blank_to_null, canonical_uuid, name_uuid, present, strip, uuid_form
 
 # The message types.
 EVENT, ENVELOPE, LOG = "event", "envelope", "log"
@@ -71,7 +71,7 @@ def decode_messages(df: DataFrame, value: str = "value") -> Split:
         .when(F.col("type").isNull() | ~F.col("type").isin(EVENT, ENVELOPE, LOG), "unknown type")
         .when(F.col("project_id").isNull() | (F.col("project_id") <= 0), "bad project id")
         .when(
-            F.col("payload").isNull() | ~F.schema_of_variant("payload").startswith("OBJECT"),
+            F.col("payload").isNull() | members(F.col("payload"), "timestamp").isNull(),
             "undecodable payload",
         )
     )
@@ -171,17 +171,12 @@ def derive_track_events(logs: DataFrame) -> DataFrame:
     )
 
 
-def with_event_id(payload: Column, raw_id: Column, event_id: Column) -> Column:
-    """The payload as JSON text. An id that is missing or not a UUID is replaced by the row's id;
-    a UUID keeps the spelling the client sent."""
-    members = F.try_variant_get(payload, "$", "map<string,variant>")
-    others = F.map_filter(members, lambda k, _: k != "event_id")
+def with_event_id(payload: Column, sent: Column, event_id: Column) -> Column:
+    """The payload as JSON text. An id that is missing or not a UUID (`sent` is null) is replaced
+    by the row's id; a UUID keeps the spelling the client used."""
+    others = F.map_filter(F.try_variant_get(payload, "$", "map<string,variant>"), lambda k, _: k != "event_id")
     merged = F.map_concat(others, F.create_map(F.lit("event_id"), event_id.cast("variant")))
-    ordered = F.map_from_entries(
-        F.transform(F.array_sort(F.map_keys(merged)), lambda k: F.struct(k, F.element_at(merged, k)))
-    )
-    sent_uuid = F.coalesce(is_uuid(raw_id), F.lit(False))
-    return F.when(sent_uuid, F.to_json(payload)).otherwise(F.to_json(ordered))
+    return F.when(sent.isNotNull(), F.to_json(payload)).otherwise(F.to_json(F.to_variant_object(merged)))
 
 
 def normalize_error_events(df: DataFrame, payload: str = "payload", missing_id: Column | None = None) -> DataFrame:
@@ -197,8 +192,11 @@ def normalize_error_events(df: DataFrame, payload: str = "payload", missing_id:
     part = {name: F.col(f"_p.{name}") for name in names}
     kept = [c for c in ("client_ip",) if c in df.columns]
     raw_id = text_of(part["event_id"])
+    missing = F.expr("uuid()") if missing_id is None else missing_id
     read = read_once(df, _p=members(F.col(payload), *names)).select(
-        canonical_uuid(raw_id, F.expr("uuid()") if missing_id is None else missing_id).alias("id"),
+        raw_id.alias("_raw_id"),
+        uuid_form(raw_id).alias("_sent"),
+        missing.alias("_missing"),
         "project_id",
         moment_of(part["timestamp"], F.col("received")).alias("ts"),
         *[
@@ -211,17 +209,17 @@ def normalize_error_events(df: DataFrame, payload: str = "payload", missing_id:
         identity.named_version(part["contexts"], "browser").alias("browser"),
         identity.stored_user_id(part["user"]).alias("user_id"),
         identity.title(part["message"], part["exception"]).alias("title"),
-        raw_id.alias("_raw_id"),
         payload,
         *kept,
     )
-    return read.select(
+    named = read.withColumn("id", canonical_uuid(F.col("_raw_id"), F.col("_sent"), F.col("_missing")))
+    return named.select(
         "id", "project_id", "ts", "level",
         identity.distinct_id(F.col("_user"), F.col("device_id")).alias("distinct_id"),
         identity.distinct_source(F.col("_user"), F.col("device_id")).alias("distinct_source"),
         "device_id", "os", "browser", "platform", F.col("release").alias("release_tag"), "environment",
         "user_id", "title",
-        with_event_id(F.col(payload), F.col("_raw_id"), F.col("id")).alias("data"),
+        with_event_id(F.col(payload), F.col("_sent"), F.col("id")).alias("data"),
         *kept,
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import identity
 from tidewell.functions.payload import moment_of, read_once, text_at, value_at
-from tidewell.functions.text import canonical_uuid
+from tidewell.functions.text import canonical_uuid, uuid_form
 from tidewell.functions.times import day_key, micros_text
 from tidewell.operators import dedupe, envelope, ingest, rollup
 from tidewell.plans.model_sql import day, micros, track
@@ -226,7 +226,9 @@ def _(spark, sf):
 
 @query("canonical_event_id", f"SELECT event_id AS n, {EVENT_ID} AS id FROM events")
 def _(spark, sf):
-    return _doc(spark, sf).select("n", canonical_uuid(text_at(F.col("doc"), "event_id"), F.expr("uuid()")).alias("id"))
+    sent = text_at(F.col("doc"), "event_id")
+    rows = _doc(spark, sf).select("n", sent.alias("sent"), uuid_form(sent).alias("form"))
+    return rows.select("n", canonical_uuid(F.col("sent"), F.col("form"), F.expr("uuid()")).alias("id"))
 
 
 @query("coerce_timestamp", f"SELECT event_id AS n, {EVENT_AT} AS at FROM events")
