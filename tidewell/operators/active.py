@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,9 +59,9 @@ def active_by_day(
 def active_by_month(rows: DataFrame, start: str | datetime, end: str | datetime) -> DataFrame:
     """Distinct users per calendar month, whole months from start's to end's."""
     first, last = whole_days(start, end)
-    month = month_key(F.col("ts"))
-    in_range = rows.filter(month.between(f"{first:%Y-%m}", f"{last:%Y-%m}"))
-    counts = _distinct_by(in_range, month, "month", "distinct_id")
+    month_end = (last.replace(day=28) + timedelta(days=4)).replace(day=1) - timedelta(days=1)
+    in_range = _in_days(rows, first.replace(day=1), month_end)
+    counts = _distinct_by(in_range, month_key(F.col("ts")), "month", "distinct_id")
     return (
         month_calendar(rows.sparkSession, first, last)
         .join(counts, "month", "left")

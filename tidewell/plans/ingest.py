@@ -128,7 +128,7 @@ def _(spark, sf):
         n.alias("id"),
         F.when(n % 7 == 0, " \t").otherwise(F.concat(F.lit(" "), "event_type", F.lit("\n"))).alias("name"),
         F.col("props").alias("properties"),
-        F.when(n % 5 != 0, F.col("ts").cast("timestamp")).alias("ts"),
+        F.when(n % 5 != 0, F.col("ts")).alias("ts"),
         F.lit("2024-02-01 00:00:00").cast("timestamp").alias("received"),
     )
     rows = ingest.track_to_log(sent).rows

@@ -25,7 +25,7 @@ def _metrics(spark, sf):
     )
     inner = F.when(n % 7 == 0, "{}").otherwise(F.concat(F.lit('{"load":'), shown, F.lit("}")))
     return tables.load(spark, sf, "events").select(
-        n.cast("string").alias("row_id"), F.lit(1).alias("project_id"), F.col("ts").cast("timestamp").alias("ts"),
+        n.cast("string").alias("row_id"), F.lit(1).alias("project_id"), F.col("ts"),
         F.concat(F.lit('{"cpu":'), inner, F.lit("}")).alias("data"),
     )
 
@@ -78,7 +78,7 @@ def _payload_rows(spark, sf):
         F.lit(',"labels":{"user":'), F.col("user_id"), F.lit("}}"),
     )
     return tables.load(spark, sf, "events").select(
-        n.cast("string").alias("row_id"), F.lit(1).alias("project_id"), F.col("ts").cast("timestamp").alias("ts"), data.alias("data")
+        n.cast("string").alias("row_id"), F.lit(1).alias("project_id"), F.col("ts"), data.alias("data")
     )
 
 
@@ -183,7 +183,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     rows = tables.load(spark, sf, "events").select(
-        F.col("event_id").cast("string").alias("row_id"), F.lit(1).alias("project_id"), F.col("ts").cast("timestamp").alias("ts"),
+        F.col("event_id").cast("string").alias("row_id"), F.lit(1).alias("project_id"), F.col("ts"),
         F.concat(F.lit("h"), F.col("user_id")).alias("host"), F.lit(443).alias("port"), F.col("value").alias("elapsed_ms"),
         F.when(F.col("event_type") == "error", "refused").alias("error"),
     )
@@ -316,7 +316,7 @@ RUNS = """runs AS (
 
 def _runs(spark, sf):
     rows = tables.load(spark, sf, "events").select(
-        (F.col("user_id") % 5).cast("int").alias("monitor_id"), F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("run_at"),
+        (F.col("user_id") % 5).cast("int").alias("monitor_id"), F.date_trunc("hour", F.col("ts")).alias("run_at"),
         F.lit("http_check").alias("detector_type"), "event_type",
     )
     bad = F.col("event_type") == "error"
