@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 
 from tidewell.functions.payload import normal_text, read_once
 from tidewell.functions.skew import BROADCAST_ROWS, lookup_join
-from tidewell.functions.text import blank_to_null, normal, present, strip
+from tidewell.functions.text import blank_to_null, normal, once, present, strip
 
 # Executors get this module's functions with the task and need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -218,14 +218,15 @@ def _normal_value(place: Column) -> Column:
 
 
 def _check_passes(check: Column) -> Column:
-    text = _normal_value(check)
-    passes = (
-        F.when(check["op"] == "exists", _found(check))
-        .when(check["op"] == "eq", text == check["value"])
-        .when(check["op"] == "contains", text.contains(check["value"]))
-        .when(check["op"] == "in", (text != "") & F.array_contains(check["options"], text))
-    )
-    return F.coalesce(passes, F.lit(False))
+    def judge(text: Column) -> Column:
+        passes = (
+            F.when(check["op"] == "eq", text == check["value"])
+            .when(check["op"] == "contains", text.contains(check["value"]))
+            .when(check["op"] == "in", (text != "") & F.array_contains(check["options"], text))
+        )
+        return F.coalesce(passes, F.lit(False))
+
+    return F.when(check["op"] == "exists", _found(check)).otherwise(once(_normal_value(check), judge))
 
 
 def rule_matches() -> Column:

@@ -7,11 +7,13 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.functions.times import DAY, day_calendar, whole_days
+from tidewell.functions.times import DAY, between, day_calendar, whole_days
 from tidewell.operators.active import daily_sketches
 
 # Accepted offsets in days.
 DEFAULT_OFFSETS, MAX_OFFSET, MAX_OFFSETS = [1, 7, 30], 365, 10
+# A word of the bitmap has 2^6 days.
+WORD_BITS = 6
 
 
 def clean_offsets(offsets: list[int] | None) -> list[int]:
@@ -22,7 +24,7 @@ def clean_offsets(offsets: list[int] | None) -> list[int]:
 def _word(number: int, position: Column) -> Column:
     """One 64-day word of a user's activity bitmap."""
     bit = F.when(
-        F.floor(position / 64) == number,
+        F.shiftright(position, WORD_BITS) == number,
         F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(position, F.lit(64)).cast("int")),
     ).otherwise(F.lit(0).cast("bigint"))
     return F.bit_or(bit)
@@ -34,14 +36,15 @@ def user_days(rows: DataFrame, first: date, days: int) -> DataFrame:
     A user's rows shrink to a few 64-bit numbers before the shuffle, however many there are.
     """
     position = F.datediff(F.to_date("ts"), F.lit(first))
-    inside = rows.filter(F.col("distinct_id").isNotNull() & position.between(0, days - 1))
+    last = first + timedelta(days=days - 1)
+    inside = between(rows, f"{first} 00:00:00", f"{last} 23:59:59.999999").filter(F.col("distinct_id").isNotNull())
     words = [_word(w, position).alias(f"w{w}") for w in range((days + 63) // 64)]
     grouped = inside.groupBy("distinct_id").agg(*words)
     return grouped.select("distinct_id", F.array(*[F.col(f"w{w}") for w in range(len(words))]).alias("words"))
 
 
 def _is_active(words: Column, position: Column) -> Column:
-    word = F.get(words, F.floor(position / 64).cast("int"))
+    word = F.get(words, F.shiftright(position, WORD_BITS))
     bit = F.pmod(position, F.lit(64)).cast("int")
     return F.call_function("bit_get", word, bit) == 1
 

@@ -113,11 +113,17 @@ def top_events_auto(
     limit: int | None = None,
     q: str = "",
 ) -> DataFrame:
-    """The first source with a row in range: rollup, then raw track events, then logs."""
-    for answer in (
-        top_events_daily(daily, start, end, limit, q),
-        top_events(track, start, end, limit, q),
-    ):
-        if not answer.isEmpty():
-            return answer
+    """The first source with a row in range: rollup, then raw track events, then logs.
+
+    The probes stop at the first row they find.
+    """
+    first, last = ordered(start, end)
+
+    def found(rows: DataFrame) -> bool:
+        return not (rows.filter(F.col("name").ilike(like_pattern(q))) if q.strip() else rows).isEmpty()
+
+    if found(daily.filter(F.col("day").between(f"{first:%Y-%m-%d}", f"{last:%Y-%m-%d}"))):
+        return top_events_daily(daily, start, end, limit, q)
+    if found(between(track, start, end)):
+        return top_events(track, start, end, limit, q)
     return top_events_from_logs(logs, start, end, limit, q)
