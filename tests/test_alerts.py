@@ -5,6 +5,7 @@ import hashlib
 import json
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -213,3 +214,25 @@ def test_retry_delays(spark):
     df = spark.createDataFrame([(i,) for i in range(14)], "n int")
     found = [r[0] for r in df.select(alert_delivery.retry_delay(F.col("n"))).collect()]
     assert found == [0, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 1800, 1800, 1800]
+
+
+@pytest.mark.parametrize("size", [1, 3, 50])
+def test_walk_carries_a_session_from_part_to_part(size):
+    rng = random.Random(size)
+    rows = [
+        (rule_id, key, session, tick, 5, 40, 1, 0, 0)
+        for rule_id in (1, 2) for key in ("a", "b") for session in (1, 2)
+        for tick in sorted(rng.sample(range(session * 1000, session * 1000 + 300), 60))
+    ]
+    names = ["rule_id", "key_hash", "session", "tick", "base", "ceiling", "nth", "seen_exp", "seen_next"]
+    whole = pd.DataFrame(rows, columns=names)
+    parts = [whole.iloc[i : i + size].reset_index(drop=True) for i in range(0, len(whole), size)]
+    one = pd.concat(alert_state.walk(iter([whole])), ignore_index=True)
+    many = pd.concat(alert_state.walk(iter(parts)), ignore_index=True)
+    assert one.astype(str).equals(many.astype(str))
+    expected = brute([r[3] for r in rows if r[:3] == (2, "b", 1)], 1000, 1, 5, 40)
+    assert list(one.query("rule_id == 2 and key_hash == 'b' and session == 1")["tick"]) == expected
+
+
+def test_walk_of_nothing():
+    assert len(pd.concat(alert_state.walk(iter([pd.DataFrame(columns=["rule_id", "key_hash", "session", "tick", "base", "ceiling", "nth", "seen_exp", "seen_next"])])))) == 0

@@ -26,7 +26,8 @@ LOGS, EVENTS, BOTH = "logs", "events", "both"
 WINDOW, THRESHOLD, BASE_BACKOFF, MAX_BACKOFF = 60, 1, 60, 3600
 MISSING = "<missing>"
 
-INPUT = ["row_id", "project_id", "source", "ts", "level", "message", "doc", "extra"]
+# An input: `fields` is JSON text, `ids` a map of ids that are added to the fields.
+INPUT = ["row_id", "project_id", "source", "ts", "level", "message", "fields", "ids"]
 PLACE = "head string, single boolean, paths array<string>"
 COMPILED = (
     "rule_id int, project_id int, rule_name string, rule_source string, levels array<string>, "
@@ -36,13 +37,15 @@ COMPILED = (
 )
 
 
-def _extra(**columns: str | Column) -> Column:
-    """Ids that are added to the fields of an input, blank ones left out."""
-    pairs = [
-        F.struct(F.lit(key).alias("key"), (F.col(c) if isinstance(c, str) else c).cast("string").alias("value"))
-        for key, c in columns.items()
-    ]
-    return F.map_from_entries(F.filter(F.array(*pairs), lambda p: present(p["value"])))
+def _ids(**columns: str | Column) -> Column:
+    pairs = [(F.lit(key), F.col(c) if isinstance(c, str) else c) for key, c in columns.items()]
+    return F.create_map(*[part for key, value in pairs for part in (key, value.cast("string"))])
+
+
+def with_fields(inputs: DataFrame) -> DataFrame:
+    """Adds the parsed fields (`doc`) and the filled ids (`extra`) of inputs."""
+    filled = F.map_filter("ids", lambda _, v: present(v))
+    return read_once(inputs, doc=F.try_parse_json("fields"), extra=filled)
 
 
 def _members(doc: Column) -> Column:
@@ -52,24 +55,24 @@ def _members(doc: Column) -> Column:
 
 
 def inputs_from_logs(logs: DataFrame, row_id: str = "id") -> DataFrame:
-    extra = _extra(
+    ids = _ids(
         ingest_id="ingest_id", distinct_id="distinct_id", device_id="device_id",
         trace_id="trace_id", span_id="span_id",
     )
-    return read_once(logs, doc=F.try_parse_json("fields"), extra=extra).select(
+    return logs.select(
         F.col(row_id).cast("string").alias("row_id"), "project_id", F.lit(LOGS).alias("source"),
-        "ts", "level", "message", "doc", "extra",
+        "ts", "level", "message", "fields", ids.alias("ids"),
     )
 
 
 def inputs_from_events(events: DataFrame) -> DataFrame:
-    extra = _extra(
+    ids = _ids(
         event_id="id", distinct_id="distinct_id", device_id="device_id", os="os", platform="platform",
         release="release_tag", environment="environment", user_id="user_id",
     )
-    return read_once(events, doc=F.try_parse_json("data"), extra=extra).select(
+    return events.select(
         F.col("id").cast("string").alias("row_id"), "project_id", F.lit(EVENTS).alias("source"),
-        "ts", "level", F.col("title").alias("message"), "doc", "extra",
+        "ts", "level", F.col("title").alias("message"), F.col("data").alias("fields"), ids.alias("ids"),
     )
 
 
@@ -81,19 +84,15 @@ def inputs_from_signals(signals: DataFrame) -> DataFrame:
         F.size("labels") > 0, F.map_concat(F.map_filter(fields, lambda k, _: k != "labels"), labels)
     ).otherwise(fields)
     source = normal(F.col("source"))
-    return read_once(
-        signals,
-        doc=F.to_variant_object(with_labels),
-        extra=_extra(source_type=strip(F.col("source_type")), signal_status=strip(F.col("status"))),
-    ).select(
-        F.col("row_id"),
+    return signals.select(
+        "row_id",
         "project_id",
         F.when(source.isin(LOGS, EVENTS), source).otherwise(BOTH).alias("source"),
         F.col("occurred_at").alias("ts"),
         strip(F.col("severity")).alias("level"),
         F.coalesce(blank_to_null(F.col("message")), strip(F.col("title"))).alias("message"),
-        "doc",
-        "extra",
+        F.to_json(F.to_variant_object(with_labels)).alias("fields"),
+        _ids(source_type=strip(F.col("source_type")), signal_status=strip(F.col("status"))).alias("ids"),
     )
 
 
@@ -229,8 +228,8 @@ def _check_passes(check: Column) -> Column:
     return F.when(check["op"] == "exists", _found(check)).otherwise(once(_normal_value(check), judge))
 
 
-def rule_matches() -> Column:
-    """Levels, event names, message keywords and field checks; an absent part passes."""
+def text_matches() -> Column:
+    """Levels, event names and message keywords; an absent part passes."""
     level, message = F.col("_level"), F.col("_message")
 
     def listed(names: str, value: Column) -> Column:
@@ -238,13 +237,11 @@ def rule_matches() -> Column:
 
     keyword = F.col("keywords").isNull() | F.exists("keywords", lambda k: message.contains(k))
     is_event = F.col("event_names").isNull() | (level == "event")
-    return (
-        listed("levels", level)
-        & is_event
-        & listed("event_names", message)
-        & keyword
-        & F.forall("checks", _check_passes)
-    )
+    return listed("levels", level) & is_event & listed("event_names", message) & keyword
+
+
+def field_matches() -> Column:
+    return F.forall("checks", _check_passes)
 
 
 def dedupe_text() -> Column:
@@ -275,8 +272,12 @@ def route_inputs(inputs: DataFrame, compiled: DataFrame, condition: Column, max_
 
 
 def match_rules(inputs: DataFrame, compiled: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """One row per input and matching rule, with the rule's settings and `key_hash`."""
-    matched = route_inputs(inputs, compiled, routed() & rule_matches(), max_rows)
+    """One row per input and matching rule, with the rule's settings and `key_hash`.
+
+    Levels, names and keywords are tried first, so the fields are parsed only where those pass.
+    """
+    candidates = route_inputs(inputs, compiled, routed() & text_matches(), max_rows)
+    matched = with_fields(candidates).filter(field_matches())
     return matched.withColumn("key_hash", F.sha2(dedupe_text(), 256)).drop(
         "_level", "_message", "levels", "event_names", "keywords", "checks", "keys", "by_message", "rule_source", "targets"
     )
@@ -284,15 +285,15 @@ def match_rules(inputs: DataFrame, compiled: DataFrame, max_rows: int = BROADCAS
 
 def preview_rows(inputs: DataFrame, compiled: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row per input and rule it is routed to, with `matched` and, for matches, `key_hash`."""
-    rows = route_inputs(inputs, compiled, routed(), max_rows)
+    rows = with_fields(route_inputs(inputs, compiled, routed(), max_rows))
     key = F.when(F.col("matched"), F.sha2(dedupe_text(), 256))
-    return read_once(rows, matched=rule_matches()).withColumn("key_hash", key).drop(
+    return read_once(rows, matched=text_matches() & field_matches()).withColumn("key_hash", key).drop(
         "_level", "_message", "levels", "event_names", "keywords", "checks", "keys", "by_message", "rule_source", "targets"
     )
 
 
 def fields_json() -> Column:
-    """Fields of an input with its added ids, as JSON text with sorted keys."""
+    """Fields of an input (see with_fields) with its added ids, as JSON text with sorted keys."""
     added = F.transform_values("extra", lambda _, v: v.cast("variant"))
     kept = F.map_filter(_members(F.col("doc")), lambda k, _: ~F.map_contains_key("extra", k))
     merged = F.map_concat(kept, added)

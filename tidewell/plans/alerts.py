@@ -64,7 +64,7 @@ INPUTS = f"""inputs AS (
 
 @query("alert_inputs", f"WITH {INPUTS} SELECT row_id, source, {micros('ts')} AS ts, level, message, fields FROM inputs")
 def _(spark, sf):
-    return _inputs(spark, sf).select(
+    return alert_rules.with_fields(_inputs(spark, sf)).select(
         "row_id", "source", micros_text(F.col("ts")).alias("ts"), "level", "message", alert_rules.fields_json().alias("fields")
     )
 

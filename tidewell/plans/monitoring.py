@@ -145,7 +145,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     rows = monitors.signals_from_rows(_payload_rows(spark, sf)).withColumn("fields", F.lit('{"x":1,"labels":"gone"}'))
-    inputs = alert_rules.inputs_from_signals(rows)
+    inputs = alert_rules.with_fields(alert_rules.inputs_from_signals(rows))
     return inputs.select("row_id", "source", "level", "message", alert_rules.fields_json().alias("fields"))
 
 
