@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import token_shards
+from tidewell.llm import bpe, token_shards
 from tidewell.llm.common import table
 from tidewell.session import run_dir
 
@@ -36,3 +36,9 @@ def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = token_shards.write_shards(table(spark, sf_dir, "documents"), folder, WORD_BPE, END_ID)
     found = token_shards.read_documents(spark, folder, keys)
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query("op2_bpe_round_trip")
+def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode all documents and decode them again."""
+    return bpe.digest_documents(table(spark, sf_dir, "documents"), WORD_BPE)
