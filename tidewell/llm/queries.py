@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import bpe, token_shards
+from tidewell.llm import bpe, language_id, token_shards
 from tidewell.llm.common import table
 from tidewell.session import run_dir
 
@@ -42,3 +42,9 @@ def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode all documents and decode them again."""
     return bpe.digest_documents(table(spark, sf_dir, "documents"), WORD_BPE)
+
+
+@query("op4_language_id")
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learn from the labelled documents outside the held-out fifth and predict every document."""
+    return language_id.identify(table(spark, sf_dir, "documents"))
