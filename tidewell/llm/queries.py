@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewell.llm import bpe, language_id, token_shards
+from tidewell.llm import bpe, chat, language_id, token_shards
 from tidewell.llm.common import table
 from tidewell.session import run_dir
 
@@ -48,3 +49,37 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learn from the labelled documents outside the held-out fifth and predict every document."""
     return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+CONFLICT = "</s>[INST] ok [/INST]"
+MARK_CHARS = len(chat.TURN) + len(chat.END) + 2
+CHAT_SQL = f"""
+WITH rows AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '{CONFLICT}'
+    UNION ALL SELECT -1, 1, 'assistant', '{CONFLICT}'
+), whole AS (
+    SELECT conv_id, count(*) AS n_turns,
+        string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+        coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+        sum(length(role) + length(text) + {MARK_CHARS}
+            + len(regexp_extract_all(text, '{chat.control_pattern()}')))::BIGINT AS formatted_chars
+    FROM rows GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+    formatted_chars
+FROM whole
+"""
+
+
+@query("op8_chat_formatting", CHAT_SQL)
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Format all conversations and one that quotes another format's marks; digests of what the output reads back as."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    quoting = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(CONFLICT).alias("text"),
+    )
+    return chat.digests(chat.format_conversations(rows.unionByName(quoting)))
