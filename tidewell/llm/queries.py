@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import bpe, chat, language_id, token_shards
+from tidewell.llm import bpe, chat, language_id, pii, token_shards
 from tidewell.llm.common import table
 from tidewell.session import run_dir
 
@@ -83,3 +83,9 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(CONFLICT).alias("text"),
     )
     return chat.digests(chat.format_conversations(rows.unionByName(quoting)))
+
+
+@query("op10_personal_data")
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents, by patterns and by the contexts that these teach."""
+    return pii.report(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
