@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import bpe, chat, exact_topk, language_id, pii, token_shards
+from tidewell.llm import bpe, chat, exact_topk, language_id, packing, pii, token_shards
 from tidewell.llm.common import table
 from tidewell.session import run_dir
 
@@ -110,3 +110,9 @@ QUALIFY rank <= 5
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best of all other vectors for every fiftieth vector."""
     return exact_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@query("op7_packing")
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pack all documents into sequences of 2048 ids."""
+    return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE, END_ID, 2048)
