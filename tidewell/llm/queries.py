@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import bpe, chat, exact_topk, language_id, packing, pii, token_shards
+from tidewell.llm import bpe, chat, exact_topk, language_id, ngram_join, packing, pii, token_shards
 from tidewell.llm.common import table
 from tidewell.session import run_dir
 
@@ -116,3 +116,9 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all documents into sequences of 2048 ids."""
     return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE, END_ID, 2048)
+
+
+@query("op5_ngram_jaccard")
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of four-word shingles are alike to 85 hundredths."""
+    return ngram_join.similarity_components(table(spark, sf_dir, "documents"), size=4, percent=85)
