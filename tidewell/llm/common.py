@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.session import shared_dir
+from tidewell.session import run_dir, shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,3 +64,24 @@ def mixed(x: np.ndarray) -> np.ndarray:
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+BROADCAST_BYTES = 64_000_000
+
+
+def small_side(df: DataFrame, row_bytes: int) -> DataFrame:
+    """A stored frame with rows of a known width as a join side: broadcast if it is counted to be small, else shuffled."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
+def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """Write a large intermediate table compressed to the shared folder; the frame that reads it and its place."""
+    place = run_dir(df.sparkSession, label)
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place), place
+
+
+def discard(spark: SparkSession, place: str) -> None:
+    """Remove an intermediate table that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

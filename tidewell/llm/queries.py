@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import bpe, chat, exact_topk, language_id, ngram_join, packing, pii, token_shards
+from tidewell.llm import bpe, chat, exact_topk, language_id, ngram_join, packing, pii, suffix_dedup, token_shards
 from tidewell.llm.common import table
 from tidewell.session import run_dir
 
@@ -122,3 +122,9 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of four-word shingles are alike to 85 hundredths."""
     return ngram_join.similarity_components(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
+@query("op9_suffix_dedup")
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that stand in more than one place of the corpus."""
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
