@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import bpe, chat, exact_topk, language_id, ngram_join, packing, pii, suffix_dedup, token_shards
+from tidewell.llm import bpe, chat, exact_topk, fingerprints, language_id, ngram_join, packing, pii, suffix_dedup, token_shards
 from tidewell.llm.common import table
 from tidewell.session import run_dir
 
@@ -128,3 +128,9 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more that stand in more than one place of the corpus."""
     return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
+@query("op3_fingerprints")
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents, and how alike each is to an edited copy of itself and to the next document."""
+    return fingerprints.compare_with_edits(table(spark, sf_dir, "documents"))
