@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tidewell.llm.common import row_blocks, text_buffers
 
@@ -188,6 +189,19 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], key: str = "doc_
     return rows.mapInArrow(partial(_predict, prototypes=prototypes), f"key {kind}, lang_pred string, score double").withColumnRenamed("key", key)
 
 
+def _with_language(batches: Iterator[pa.RecordBatch], prototypes: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        text = batch.column(batch.schema.get_field_index("text"))
+        found = next(_predict(iter([pa.RecordBatch.from_arrays([text, text], ["key", "text"])]), prototypes))
+        yield pa.RecordBatch.from_arrays([*batch.columns, found.column(1)], [*batch.schema.names, "_lang"])
+
+
+def with_language(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
+    """The documents with their language as one more column, _lang."""
+    schema = StructType([*docs.schema.fields, StructField("_lang", StringType())])
+    return docs.mapInArrow(partial(_with_language, prototypes=prototypes), schema)
+
+
 def held_out(doc_id):
     """A fifth of the documents, by id, that training never sees."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidewell.llm import bpe, chat, exact_topk, fingerprints, language_id, ngram_join, packing, pii, suffix_dedup, token_shards
 from tidewell.llm.common import table
 from tidewell.session import run_dir
@@ -134,3 +135,8 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents, and how alike each is to an edited copy of itself and to the next document."""
     return fingerprints.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
