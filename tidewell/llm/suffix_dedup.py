@@ -281,7 +281,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 parts, done = [], 0
                 for s in spans.as_py():
                     if not s["kept"]:
-                        parts.append(texts[i][done : s["start"]])
+                        gone = texts[i][s["start"] : s["end"]]
+                        space = len(gone) - len(gone.lstrip(" \t\n\v\f\r"))  # behind a kept place: words stay apart
+                        parts.append(texts[i][done : s["start"] + space])
                         done = s["end"]
                 texts[i] = "".join([*parts, texts[i][done:]])
         columns = [pa.array(texts, batch.column(at).type) if n == "text" else batch.column(i) for i, n in enumerate(names) if n != "_spans"]
