@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tidewell.functions import text
 from tidewell.operators import active, custom, distribution, funnel, growth, lifecycle, retention, rollup, top_events
 
 TRACK = "project_id int, ts timestamp, ingest_id string, name string, distinct_id string, device_id string"
@@ -83,14 +84,20 @@ def test_funnel_equals_brute_force(spark, hot_rows, within):
 
 
 def test_funnel_arguments():
-    assert funnel.clean_steps(" a,, A,b ,c,d,e,f,g,h,i") == ["a", "b", "c", "d", "e", "f", "g", "h"]
-    assert funnel.clean_steps(["x" * 300])[0] == "x" * 200
+    nine = ["a", "b", "c", "d", "e", "f", "g", "h", "i"]
+    assert funnel.clean_steps(" a,, A,b ,c,d,e,f,g,h,i") == nine
+    assert funnel.clean_steps(["x" * 201, "x" * 200]) == ["x" * 201, "x" * 200]
+    for refused in (lambda: funnel.clean_steps(nine, max_steps=8), lambda: funnel.clean_steps(["x" * 201], max_bytes=200)):
+        with pytest.raises(ValueError):
+            refused()
     assert funnel.within_seconds(dt.timedelta(milliseconds=5)) == 1
-    assert funnel.within_seconds(dt.timedelta(days=90)) == 30 * 86400
+    assert funnel.within_seconds(dt.timedelta(days=90)) == 90 * 86400
+    with pytest.raises(ValueError):
+        funnel.within_seconds(dt.timedelta(days=90), longest=dt.timedelta(days=30))
     with pytest.raises(ValueError):
         funnel.check_range("2025-01-02", "2025-01-01")
     with pytest.raises(ValueError):
-        funnel.check_range("2025-01-01", "2025-02-02")
+        funnel.check_range("2025-01-01", "2025-02-02", longest=dt.timedelta(days=31))
     with pytest.raises(ValueError):
         funnel.check_range("2025-01-01", "2025-01-03", now="2025-01-31", retention_days=20)
     funnel.check_range("2025-01-01", "2025-01-03", now="2025-01-31", retention_days=30)
@@ -169,9 +176,12 @@ def test_retention_equals_brute_force(spark, sketch):
 
 
 def test_retention_offsets():
-    assert retention.clean_offsets([7, 1, 7, 0, -1, 366]) == [1, 7]
+    assert retention.clean_offsets([7, 1, 7, 0, -1, 366]) == [1, 7, 366]
     assert retention.clean_offsets(None) == [1, 7, 30]
-    assert retention.clean_offsets(list(range(1, 30))) == list(range(1, 11))
+    assert retention.clean_offsets(list(range(1, 12))) == list(range(1, 12))
+    for refused in ({"most": 10}, {"furthest": 10}):
+        with pytest.raises(ValueError):
+            retention.clean_offsets(list(range(1, 12)), **refused)
 
 
 def test_growth(spark):
@@ -262,3 +272,17 @@ def test_storage_estimate_saturates_and_handles_empty(spark):
     assert (found["count"], found["avg_row_bytes"], found["est_bytes"]) == (2, 127, 254)
     empty = lifecycle.storage_of(rows.limit(0), "logs").first()
     assert (empty["count"], empty["sample_size"], empty["est_bytes"]) == (0, 0, 0)
+
+
+def test_backslashes_in_search_text(spark):
+    names = ["C:\\dir", "C:dir", "100%", "100x", "a_b", "axb", "end%", "back\\slash"]
+    rows = spark.createDataFrame([(n,) for n in names], "message string")
+
+    def found(q):
+        return {r.message for r in rows.filter(F.col("message").ilike(text.contains_pattern(q))).collect()}
+
+    assert found("C:\\d") == {"C:dir"}
+    assert found("C:\\\\d") == {"C:\\dir"}
+    assert found("100\\%") == {"100%"} and found("0%") == {"100%", "100x"}
+    assert found("a\\_b") == {"a_b"} and found("a_b") == {"a_b", "axb"}
+    assert found("end\\") == {"end%"} and found("k\\\\s") == {"back\\slash"}

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.session import written_once
+
 # A broadcast side stays below this many rows (rule, policy, label and range tables).
 BROADCAST_ROWS = 500_000
-# A hash window may hold this many rows of one key; hotter keys take another way.
+# A hash window may hold this many rows of one key; all hotter keys take another way to the same result.
 WINDOW_ROWS = 1_000_000
-HOT_KEYS = 100_000
 SALTS = 32
 
 
@@ -55,14 +56,15 @@ def _hashable(df: DataFrame, column: str) -> bool:
     return kind not in ("map", "variant")
 
 
-def hottest_keys(rows: DataFrame, key: str, min_rows: int = WINDOW_ROWS, max_keys: int = HOT_KEYS) -> DataFrame | None:
-    """The keys with more than `min_rows` rows, at most the `max_keys` largest, or None.
+def hot_keys(rows: DataFrame, key: str, min_rows: int = WINDOW_ROWS) -> DataFrame:
+    """All keys with more than `min_rows` rows, written once; they stay a frame, however many there are.
 
-    The count is combined before its shuffle. At most `max_keys` ids reach the driver; a key
-    beyond them has fewer than rows / max_keys rows, which a window can hold.
+    The count is combined before its shuffle.
     """
     counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > min_rows)
-    found = counts.orderBy(F.desc("_n")).limit(max_keys).select(key).collect()
-    if not found:
-        return None
-    return rows.sparkSession.createDataFrame(found, rows.select(key).schema)
+    return written_once(counts.select(key))
+
+
+def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast a frame of narrow rows if it is counted to be small; otherwise the join shuffles."""
+    return F.broadcast(df) if is_small(df, max_rows) else df

@@ -40,9 +40,21 @@ def all_of(conditions: list[Column]) -> Column:
     return reduce(and_, conditions, F.lit(True))
 
 
+def contains_pattern(q: str) -> str:
+    """%q% for ILIKE; % and _ typed by the user stay wildcards.
+
+    A backslash takes its meaning from the next character, as in Postgres: before %, _ or a backslash it makes that
+    one literal, before any other it is dropped. One at the end of q makes the closing % literal.
+    """
+    out, rest = [], iter(f"%{q}%")
+    for c in rest:
+        following = next(rest, "") if c == "\\" else ""
+        out.append(c + following if not following or following in "%_\\" else following)
+    return "".join(out)
+
+
 def like_pattern(q: str) -> str:
-    """%q% for ILIKE; % and _ typed by the user stay wildcards."""
-    return f"%{q.strip()}%"
+    return contains_pattern(q.strip())
 
 
 def once(value: Column, use: Callable[[Column], Column]) -> Column:

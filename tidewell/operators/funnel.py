@@ -7,35 +7,35 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.functions.skew import HOT_KEYS, WINDOW_ROWS, hottest_keys
+from tidewell.functions.skew import WINDOW_ROWS, checked_broadcast, hot_keys
 from tidewell.functions.text import WHITESPACE, present
 from tidewell.functions.times import as_datetime, between, days_back
 from tidewell.operators.top_events import logs_as_track
 
-# The limits of a funnel request.
-MAX_STEPS, MAX_STEP_BYTES = 8, 200
-MAX_RANGE = timedelta(days=31)
-MAX_WITHIN = timedelta(days=30)
 
-
-def clean_steps(raw: str | list[str]) -> list[str]:
-    """Trimmed names, blanks dropped, cut to 200 bytes, first of each spelling, at most 8."""
+def clean_steps(raw: str | list[str], max_steps: int | None = None, max_bytes: int | None = None) -> list[str]:
+    """Trimmed names, blanks dropped, first of each spelling; more steps or bytes than allowed are an error."""
     parts = raw.split(",") if isinstance(raw, str) else raw
     steps: dict[str, str] = {}
     for part in parts:
         name = part.strip(WHITESPACE)
-        name = name.encode()[:MAX_STEP_BYTES].decode(errors="ignore")
-        if name and len(steps) < MAX_STEPS:
+        if max_bytes is not None and len(name.encode()) > max_bytes:
+            raise ValueError(f"a step has at most {max_bytes} bytes")
+        if name:
             steps.setdefault(name.lower(), name)
+    if max_steps is not None and len(steps) > max_steps:
+        raise ValueError(f"a funnel has at most {max_steps} steps")
     return list(steps.values())
 
 
-def within_seconds(within: timedelta | None) -> int | None:
+def within_seconds(within: timedelta | None, longest: timedelta | None = None) -> int | None:
     if within is None:
         return None
     if within <= timedelta(0):
-        raise ValueError("within must be positive")
-    return max(1, int(min(within, MAX_WITHIN).total_seconds()))
+        raise ValueError("the time between the first and a later step has to be positive")
+    if longest is not None and within > longest:
+        raise ValueError(f"the time between the first and a later step is at most {longest}")
+    return max(1, int(within.total_seconds()))
 
 
 def check_range(
@@ -43,13 +43,14 @@ def check_range(
     end: str | datetime,
     now: str | datetime | None = None,
     retention_days: int = 0,
+    longest: timedelta | None = None,
 ) -> None:
     """Refuse ranges that are inverted, too long, or partly deleted by the retention policy."""
     start, end = as_datetime(start), as_datetime(end)
     if end < start:
-        raise ValueError("invalid time range")
-    if end - start > MAX_RANGE:
-        raise ValueError("time range too large (max 31d)")
+        raise ValueError("the range ends before it starts")
+    if longest is not None and end - start > longest:
+        raise ValueError(f"the range is longer than {longest}")
     if now is not None and retention_days > 0 and start < days_back(now, retention_days):
         raise ValueError("the start is older than the retention cutoff of the source table")
 
@@ -85,7 +86,7 @@ def _times_by_window(rows: DataFrame, steps: int) -> DataFrame:
 def _times_by_minimum(rows: DataFrame, steps: int) -> DataFrame:
     """For few users with very many rows: one combined minimum per step, no shuffle of the rows.
 
-    Each step joins the (bounded) times so far to the rows by broadcast. The step-1 rows stay in,
+    Each step joins the times so far to the rows, by broadcast if they are counted to be few. The step-1 rows stay in,
     so that a user who stops early keeps a row.
     """
     times = rows.filter(F.col("step") == 1).groupBy("distinct_id").agg(F.min("ts").alias("t1"))
@@ -93,7 +94,7 @@ def _times_by_minimum(rows: DataFrame, steps: int) -> DataFrame:
         so_far = [f"t{j}" for j in range(1, i)]
         times = (
             rows.filter(F.col("step").isin(1, i))
-            .join(F.broadcast(times), "distinct_id")
+            .join(checked_broadcast(times), "distinct_id")
             .groupBy("distinct_id", *so_far)
             .agg(_reach(i, F.col(f"t{i - 1}")).alias(f"t{i}"))
         )
@@ -107,7 +108,6 @@ def funnel_times(
     end: str | datetime,
     within: timedelta | None = None,
     hot_rows: int = WINDOW_ROWS,
-    hot_users: int = HOT_KEYS,
 ) -> DataFrame:
     """One row per user who did step 1: the time of each step, null from the first miss on.
 
@@ -117,14 +117,10 @@ def funnel_times(
     """
     k = len(steps)
     rows = step_rows(track, steps, start, end)
-    hot = hottest_keys(rows, "distinct_id", hot_rows, hot_users)
-    if hot is None:
-        times = _times_by_window(rows, k)
-    else:
-        hot = F.broadcast(hot)
-        times = _times_by_window(rows.join(hot, "distinct_id", "left_anti"), k).unionByName(
-            _times_by_minimum(rows.join(hot, "distinct_id", "left_semi"), k)
-        )
+    hot = checked_broadcast(hot_keys(rows, "distinct_id", hot_rows))
+    times = _times_by_window(rows.join(hot, "distinct_id", "left_anti"), k).unionByName(
+        _times_by_minimum(rows.join(hot, "distinct_id", "left_semi"), k)
+    )
     times = times.filter(F.col("t1").isNotNull())
     seconds = within_seconds(within)
     if seconds is None:
@@ -144,12 +140,13 @@ def funnel(
     now: str | datetime | None = None,
     retention_days: int = 0,
     hot_rows: int = WINDOW_ROWS,
+    longest: timedelta | None = None,
 ) -> DataFrame:
     """(step_no, step, users) for each step; no users gives zeros."""
     names = clean_steps(steps)
     if len(names) < 2:
         raise ValueError("at least 2 steps are required")
-    check_range(start, end, now, retention_days)
+    check_range(start, end, now, retention_days, longest)
     times = funnel_times(track, names, start, end, within, hot_rows)
     counts = times.agg(*[F.count(f"t{i}").alias(f"n{i}") for i in range(1, len(names) + 1)])
     return counts.select(
@@ -165,7 +162,7 @@ def funnel(
 
 
 def with_conversion(steps: DataFrame) -> DataFrame:
-    """Step-over-step conversion and drop-off; the window runs over at most 8 rows."""
+    """Step-over-step conversion and drop-off; the window runs over one row per step."""
     previous = F.lag("users").over(Window.orderBy("step_no"))
     return steps.select(
         "step_no",
@@ -198,4 +195,4 @@ def funnel_source(
         return track, "track_events"
     if wanted == "logs":
         return logs_as_track(logs), "logs"
-    raise ValueError("invalid source")
+    raise ValueError(f"no funnel source is called {source!r}")

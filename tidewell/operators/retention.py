@@ -10,15 +10,20 @@ from pyspark.sql import functions as F
 from tidewell.functions.times import DAY, between, day_calendar, whole_days
 from tidewell.operators.active import daily_sketches
 
-# Accepted offsets in days.
-DEFAULT_OFFSETS, MAX_OFFSET, MAX_OFFSETS = [1, 7, 30], 365, 10
+# The offsets in days if none is asked for.
+DEFAULT_OFFSETS = [1, 7, 30]
 # A word of the bitmap has 2^6 days.
 WORD_BITS = 6
 
 
-def clean_offsets(offsets: list[int] | None) -> list[int]:
-    kept = sorted({k for k in offsets or [] if 0 < k <= MAX_OFFSET})
-    return kept[:MAX_OFFSETS] or DEFAULT_OFFSETS
+def clean_offsets(offsets: list[int] | None, most: int | None = None, furthest: int | None = None) -> list[int]:
+    """Distinct positive offsets; more than ``most`` of them or one beyond ``furthest`` is an error, if these are given."""
+    kept = sorted({k for k in offsets or [] if k > 0})
+    if most is not None and len(kept) > most:
+        raise ValueError(f"at most {most} offsets can be asked for, not {len(kept)}")
+    if furthest is not None and kept and kept[-1] > furthest:
+        raise ValueError(f"an offset is at most {furthest} days, not {kept[-1]}")
+    return kept or DEFAULT_OFFSETS
 
 
 def _word(number: int, position: Column) -> Column:

@@ -8,13 +8,12 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.functions.text import all_of, has_word, present
+from tidewell.functions.text import all_of, contains_pattern, has_word, present
 from tidewell.functions.times import between, moment
 from tidewell.operators.top_events import row_limit
 
-# Page sizes (default, most) of the listings.
-EVENT_PAGE, LOG_PAGE, SEARCH_PAGE = (50, 500), (100, 500), (50, 500)
-RUN_PAGE, DELIVERY_PAGE = (50, 200), (50, 200)
+# Default page sizes of the listings.
+EVENT_PAGE, LOG_PAGE, SEARCH_PAGE, RUN_PAGE, DELIVERY_PAGE = 50, 100, 50, 50, 50
 # Characters of context around a hit.
 CONTEXT = 30
 # Field names of a search and the JSON key or column behind them.
@@ -26,17 +25,19 @@ COLUMN_FIELDS = {
 HIT = ["id", "ts", "level", "trace_id", "span_id", "message", "fields"]
 
 
-def newest(df: DataFrame, limit: int | None, page: tuple[int, int]) -> DataFrame:
+def newest(df: DataFrame, limit: int | None, page: int, most: int | None = None) -> DataFrame:
     """Newest first, the id as tie-break; a top-N, so no full sort."""
-    return df.orderBy(F.desc("ts"), F.desc("id")).limit(row_limit(limit, *page))
+    return df.orderBy(F.desc("ts"), F.desc("id")).limit(row_limit(limit, page, most))
 
 
-def recent_events(events: DataFrame, limit: int | None = None) -> DataFrame:
-    return newest(events.select("id", "ts", "level", "title"), limit, EVENT_PAGE)
+def recent_events(events: DataFrame, limit: int | None = None, most: int | None = None) -> DataFrame:
+    return newest(events.select("id", "ts", "level", "title"), limit, EVENT_PAGE, most)
 
 
-def event_by_id(events: DataFrame, project_id: int, event_id: str | int) -> DataFrame:
-    return events.filter((F.col("project_id") == project_id) & (F.col("id") == event_id)).select("id", "data")
+def event_by_id(events: DataFrame, project_id: int | list[int], event_id: str | int) -> DataFrame:
+    """The event, if one of the projects that the caller may read has it."""
+    projects = project_id if isinstance(project_id, list) else [project_id]
+    return events.filter(F.col("project_id").isin(projects) & (F.col("id") == event_id)).select("id", "data")
 
 
 def log_hits(logs: DataFrame) -> DataFrame:
@@ -76,7 +77,8 @@ def match_all_words(q: str) -> Column:
 
 def match_substring(q: str) -> Column:
     """Substring of the message or of the fields, ignoring case; % and _ are wildcards."""
-    return F.col("message").ilike(f"%{q}%") | F.col("fields").ilike(f"%{q}%")
+    pattern = contains_pattern(q)
+    return F.col("message").ilike(pattern) | F.col("fields").ilike(pattern)
 
 
 def search_logs(
@@ -84,6 +86,7 @@ def search_logs(
     q: str = "",
     mode: str = "",
     limit: int | None = None,
+    most: int | None = None,
     **filters: str | datetime | None,
 ) -> DataFrame:
     """Log hits, newest first. Mode '' or 'fts' looks for words, any other mode for a substring."""
@@ -91,7 +94,7 @@ def search_logs(
     if q:
         words = mode.strip().lower() in ("", "fts")
         rows = rows.filter(match_all_words(q) if words else match_substring(q))
-    return newest(log_hits(rows), limit, LOG_PAGE)
+    return newest(log_hits(rows), limit, LOG_PAGE, most)
 
 
 def search_field(name: str, columns: list[str]) -> Column:
@@ -112,7 +115,7 @@ def predicate(field: Column, op: str, value: object = None) -> Column:
         case "neq":
             return field != value
         case "contains":
-            return field.ilike(f"%{value}%")
+            return field.ilike(contains_pattern(str(value)))
         case "in":
             return field.isin(list(value))
         case "exists":
@@ -132,7 +135,7 @@ def search(
 ) -> DataFrame:
     """All rows that pass every filter (field, op, value) and hold every keyword."""
     conditions = [predicate(search_field(f, logs.columns), op, value) for f, op, value in filters]
-    conditions += [F.col("message").ilike(f"%{k}%") for k in keywords]
+    conditions += [F.col("message").ilike(contains_pattern(k)) for k in keywords]
     return between(logs, start, end).filter(all_of(conditions))
 
 
@@ -141,10 +144,15 @@ def total(hits: DataFrame) -> DataFrame:
 
 
 def page(
-    hits: DataFrame, number: int = 1, size: int | None = None, sort: str = "ts", ascending: bool = False
+    hits: DataFrame,
+    number: int = 1,
+    size: int | None = None,
+    sort: str = "ts",
+    ascending: bool = False,
+    most: int | None = None,
 ) -> DataFrame:
     """One page of hits. The cost grows with the page number; for deep pages use page_after."""
-    size = row_limit(size, *SEARCH_PAGE)
+    size = row_limit(size, SEARCH_PAGE, most)
     by = F.asc if ascending else F.desc
     offset = (max(number, 1) - 1) * size
     return log_hits(hits).orderBy(by(sort), by("id")).offset(offset).limit(size)
@@ -182,9 +190,9 @@ def list_deliveries(
         rows = rows.filter(F.col("channel_type") == channel)
     if rule_id:
         rows = rows.filter(F.col("rule_id") == rule_id)
-    return rows.orderBy(F.desc("id")).limit(row_limit(limit, *DELIVERY_PAGE))
+    return rows.orderBy(F.desc("id")).limit(row_limit(limit, DELIVERY_PAGE))
 
 
 def list_monitor_runs(runs: DataFrame, monitor_id: int, limit: int | None = None) -> DataFrame:
     own = runs.filter(F.col("monitor_id") == monitor_id)
-    return own.orderBy(F.desc("id")).limit(row_limit(limit, *RUN_PAGE))
+    return own.orderBy(F.desc("id")).limit(row_limit(limit, RUN_PAGE))

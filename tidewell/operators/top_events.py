@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 from tidewell.functions.text import like_pattern, present
 from tidewell.functions.times import as_datetime, between, ordered
 
-DEFAULT_LIMIT, MAX_LIMIT = 20, 200
+DEFAULT_LIMIT = 20
 
 
-def row_limit(limit: int | None, default: int, most: int) -> int:
-    return default if not limit or limit <= 0 else min(limit, most)
+def row_limit(limit: int | None, default: int, most: int | None = None) -> int:
+    """The rows of a top list or page; more than ``most``, if given, is an error."""
+    rows = default if not limit or limit <= 0 else limit
+    if most is not None and rows > most:
+        raise ValueError(f"at most {most} rows can be asked for, not {rows}")
+    return rows
 
 
 def _ranked(per_user: DataFrame, limit: int | None, q: str) -> DataFrame:
@@ -25,7 +29,7 @@ def _ranked(per_user: DataFrame, limit: int | None, q: str) -> DataFrame:
         per_user.groupBy("name")
         .agg(F.sum("events").alias("events"), F.count("distinct_id").alias("users"))
         .orderBy(F.desc("events"), "name")
-        .limit(row_limit(limit, DEFAULT_LIMIT, MAX_LIMIT))
+        .limit(row_limit(limit, DEFAULT_LIMIT))
     )
 
 

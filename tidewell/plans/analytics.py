@@ -135,7 +135,7 @@ def _(spark, sf):
 @query("funnel_steps_clean", _funnel_sql(["view", "Purchase", "error"], track(), "name", "24 hours"))
 def _(spark, sf):
     raw = " view ,, VIEW,Purchase,purchase , error"
-    return funnel.funnel(tables.track_events(spark, sf), raw, START, END, DAY)
+    return funnel.funnel(tables.track_events(spark, sf), funnel.clean_steps(raw, 8, 200), START, END, DAY)
 
 
 @query("funnel_source", _funnel_sql(STEPS, logs(), "message", "24 hours", "level = 'event' AND distinct_id <> ''"))
@@ -148,7 +148,8 @@ def _(spark, sf):
 
 @query("funnel_guard", _funnel_sql(STEPS, track(), "name", "24 hours"))
 def _(spark, sf):
-    return funnel.funnel(tables.track_events(spark, sf), STEPS, START, END, DAY, now=NOW, retention_days=30)
+    longest = timedelta(days=31)
+    return funnel.funnel(tables.track_events(spark, sf), STEPS, START, END, DAY, now=NOW, retention_days=30, longest=longest)
 
 
 SEEN = f"""WITH {track(3)}, {logs(3)}, seen AS (
@@ -323,7 +324,7 @@ RETENTION = f"""{ACTIVITY}, {CALENDAR}, days AS (
 
 @query("retention", RETENTION)
 def _(spark, sf):
-    found = retention.retention(_activity(spark, sf), FIRST, LAST, [7, 1, 3, 40, 7, 0, 400])
+    found = retention.retention(_activity(spark, sf), FIRST, LAST, [7, 1, 3, 40, 7, 0])
     return found.withColumn("rate", F.round("rate", 6))
 
 

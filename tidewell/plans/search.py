@@ -31,9 +31,7 @@ def _(spark, sf):
 
 @query("event_by_id", f"WITH {errors(3)} SELECT id, data FROM error_events WHERE project_id = 1 + (SELECT user_id % 3 FROM events WHERE event_id = 417) AND id = 417")
 def _(spark, sf):
-    rows = tables.error_events(spark, sf, 3)
-    found = [search.event_by_id(rows, project, 417) for project in (1, 2, 3)]
-    return found[0].unionByName(found[1]).unionByName(found[2])
+    return search.event_by_id(tables.error_events(spark, sf, 3), [1, 2, 3], 417)
 
 
 DOC_HITS = f"SELECT id, {AT} AS ts, level FROM logs l"

@@ -5,13 +5,17 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str, master: str, shuffle_partitions: int) -> SparkSession:
-    """A session for tests and the benchmark; clusters bring their own."""
+def build_session(app: str, master: str, shuffle_partitions: int, shared: str | None = None) -> SparkSession:
+    """A session for tests and the benchmark; clusters bring their own. ``shared`` is used if no folder is set yet."""
+    builder = SparkSession.builder
+    if shared and SparkConf().get("spark.checkpoint.dir") is None:
+        builder = builder.config("spark.checkpoint.dir", shared)
     return (
-        SparkSession.builder.master(master)
+        builder.master(master)
         .appName(app)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -38,9 +42,11 @@ def shared_dir(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    root = tempfile.mkdtemp(prefix="tidewell-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    own = spark.sparkContext.getCheckpointDir()
+    if own is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidewell-"))
+        own = spark.sparkContext.getCheckpointDir()
+    return own.rstrip("/")
 
 
 def run_dir(spark: SparkSession, label: str) -> str:

@@ -5,19 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Body limits in bytes.
-BODY_LIMIT = 5 * 1024 * 1024
-ENVELOPE_LIMIT = 20 * 1024 * 1024
-
 
 def read_bodies(
     spark: SparkSession,
     path: str,
-    limit: int = BODY_LIMIT,
+    limit: int | None = None,
     whole_files: bool = False,
     streaming: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """Bodies within the size limit, and the rejected ones with their size.
+    """Bodies within the size limit (if one is given), and the rejected ones with their text and size.
 
     Compressed files (`.gz`) are decoded by the reader; the limit is on the decoded body.
     """
@@ -29,11 +25,9 @@ def read_bodies(
         .load(path)
         .select(F.col("value").alias("body"), F.octet_length("value").alias("body_bytes"))
     )
-    kept = bodies.filter(F.col("body_bytes") <= limit)
-    rejects = bodies.filter(F.col("body_bytes") > limit).select(
-        "body_bytes", F.lit("body too large").alias("reason")
-    )
-    return kept, rejects
+    too_large = F.lit(False) if limit is None else F.col("body_bytes") > limit
+    rejects = bodies.filter(too_large).withColumn("reason", F.lit("body over the size limit"))
+    return bodies.filter(~too_large), rejects
 
 
 def write_bodies(df: DataFrame, path: str, compression: str = "gzip") -> None:
