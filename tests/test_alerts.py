@@ -236,3 +236,11 @@ def test_walk_carries_a_session_from_part_to_part(size):
 
 def test_walk_of_nothing():
     assert len(pd.concat(alert_state.walk(iter([pd.DataFrame(columns=["rule_id", "key_hash", "session", "tick", "base", "ceiling", "nth", "seen_exp", "seen_next"])])))) == 0
+
+
+def test_state_is_kept_for_long_windows():
+    from tidewell.streaming import alert_stream
+
+    assert alert_stream.idle_ms(30 * 86_400, 100, 0) == 30 * 86_400_000 + alert_stream.IDLE_MS
+    assert alert_stream.idle_ms(60, 100, 1_000_000) == 999_900_000 + alert_stream.IDLE_MS
+    assert alert_stream.idle_ms(60, 100, 0) == 60_000 + alert_stream.IDLE_MS

@@ -6,7 +6,7 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from tidewell.functions.times import bucket_key
+from tidewell.functions.times import bucket_key, day_key
 from tidewell.operators import active, custom, definitions, distribution, funnel, growth, retention
 from tidewell.operators import rollup, top_events
 from tidewell.plans.model_sql import GEO, day, errors, logs, micros, track
@@ -213,6 +213,17 @@ def _active_sql(who: str) -> str:
       FROM calendar c LEFT JOIN activity a ON {day('a.ts')} = c.day GROUP BY c.day"""
 
 
+# Three standard errors of a sketch with 4096 registers.
+SKETCH_ERROR = 0.05
+
+
+def close_to(estimates, exact, keys: list[str], value: str, of: str | None = None, share: float = SKETCH_ERROR):
+    """The exact rows with `close`: the estimate is there and off by at most a share of the count (or of `of`), plus 1."""
+    both = exact.join(estimates.withColumnRenamed(value, "_estimate"), keys, "full")
+    near = F.abs(F.col("_estimate") - F.col(value)) <= F.col(of or value) * share + 1
+    return both.withColumn("close", F.coalesce(near, F.lit(False))).drop("_estimate")
+
+
 @query("dau", _active_sql("distinct_id"))
 def _(spark, sf):
     return active.active_by_day(_activity(spark, sf), FIRST, LAST)
@@ -252,14 +263,25 @@ def _(spark, sf):
     return active.metrics_total(_activity(spark, sf))
 
 
-@query("dau_approx")
+@query(
+    "dau_approx",
+    f"""{ACTIVITY} SELECT {day('ts')} AS day, COUNT(DISTINCT distinct_id) AS active, TRUE AS close
+      FROM activity WHERE distinct_id <> '' GROUP BY 1""",
+)
 def _(spark, sf):
-    return active.active_from_sketches(active.daily_sketches(_activity(spark, sf)))
+    """The exact count of each day, and whether the sketch's estimate is close to it."""
+    rows = _activity(spark, sf)
+    exact = rows.filter("distinct_id <> ''").groupBy(day_key(F.col("ts")).alias("day"))
+    exact = exact.agg(F.count_distinct("distinct_id").alias("active"))
+    return close_to(active.active_from_sketches(active.daily_sketches(rows)), exact, ["day"], "active")
 
 
-@query("metrics_total_approx")
+@query("metrics_total_approx", f"{ACTIVITY} SELECT COUNT(DISTINCT distinct_id) AS users, TRUE AS close FROM activity WHERE distinct_id <> ''")
 def _(spark, sf):
-    return active.total_from_sketches(active.daily_sketches(_activity(spark, sf)))
+    rows = _activity(spark, sf)
+    exact = rows.filter("distinct_id <> ''").agg(F.count_distinct("distinct_id").alias("users"))
+    total = active.total_from_sketches(active.daily_sketches(rows)).toDF("users")
+    return close_to(total.withColumn("k", F.lit(0)), exact.withColumn("k", F.lit(0)), ["k"], "users").drop("k")
 
 
 ENRICHED = f"""WITH {errors()}, {GEO}, enriched AS (
@@ -328,10 +350,13 @@ def _(spark, sf):
     return found.withColumn("rate", F.round("rate", 6))
 
 
-@query("retention_approx")
+@query("retention_approx", f"SELECT cohort, day, active, cohort_size, TRUE AS close FROM ({RETENTION}) WHERE day <> 40")
 def _(spark, sf):
-    found = retention.retention_approx(_activity(spark, sf), FIRST, LAST, [1, 3, 7])
-    return found.withColumn("rate", F.round("rate", 6))
+    """The exact points, and whether the sketches' estimates are close; errors grow with the cohort."""
+    rows = _activity(spark, sf)
+    exact = retention.retention(rows, FIRST, LAST, [1, 3, 7]).select("cohort", "day", "active", "cohort_size")
+    found = retention.retention_approx(rows, FIRST, LAST, [1, 3, 7]).select("cohort", "day", "active")
+    return close_to(found, exact, ["cohort", "day"], "active", of="cohort_size", share=3 * SKETCH_ERROR)
 
 
 def _custom_sql(bucket: str, event: str, prop: str, where: str = "TRUE") -> str:

@@ -19,10 +19,15 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SENT = "rule_id int, key_hash string, tick bigint, backoff_exp bigint, next_allowed bigint"
 STATE = "occurrences bigint, backoff_exp bigint, last_seen bigint, next_allowed bigint"
-# An idle key is forgotten after this long (processing time); far longer than any repeat window.
+# A key is forgotten this long (processing time) after its window and its backoff are over.
 IDLE_MS = 7 * 86_400_000
 
 
+def idle_ms(window: int, last: int, allowed: int) -> int:
+    """How long a key's state can still matter, and a margin for late rows."""
+    return max(window, allowed - last, 0) * 1000 + IDLE_MS
+
+
 def decide(seconds: dict[int, int], settings: tuple[int, int, int, int], state: tuple[int, int, int, int]):
     """Walk one key's matches, counted per second, from a state: (new state, sends).
 
@@ -61,7 +66,7 @@ def _step(
     after, sends = decide(seconds, settings, before)
     state.update(after)
     if forget_idle:
-        state.setTimeoutDuration(IDLE_MS)
+        state.setTimeoutDuration(idle_ms(settings[0], after[2], after[3]))
     yield pd.DataFrame(
         [(key[0], key[1], *sent) for sent in sends],
         columns=["rule_id", "key_hash", "tick", "backoff_exp", "next_allowed"],
