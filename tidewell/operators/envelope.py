@@ -10,6 +10,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.functions.payload import read_once
 from tidewell.functions.text import name_uuid
 from tidewell.operators.ingest import Split
 
@@ -86,7 +87,7 @@ def _read_envelopes(bodies: pd.Series) -> pd.DataFrame:
 def parse_envelopes(df: DataFrame, body: str = "body") -> Split:
     """Add event_id, items and event (JSON text, null without a usable event item)."""
     read = F.pandas_udf(_read_envelopes, "event_id string, items int, event string, error string")
-    parsed = df.withColumn("_e", read(body))
+    parsed = read_once(df, _e=read(body))
     rows = parsed.filter(F.col("_e.error").isNull()).select(*df.columns, "_e.event_id", "_e.items", "_e.event")
     rejects = parsed.filter(F.col("_e.error").isNotNull()).select(*df.columns, F.col("_e.error").alias("reason"))
     return Split(rows, rejects)
