@@ -312,13 +312,13 @@ TARGETS = """targets AS (
       UNION ALL SELECT 3, 'webhook', '{"url":"http://a"}' UNION ALL SELECT 3, 'email', '{"to":"b"}')"""
 
 
-def _all_targets(spark, sf):
+def all_targets(spark, sf):
     return alert_delivery.expand_targets(_rules(spark).filter("enabled"), **_directory(spark, sf))
 
 
 @query("expand_targets", f"WITH {TARGETS} SELECT CAST(rule_id AS INTEGER) AS rule_id, channel_type, target FROM targets")
 def _(spark, sf):
-    return _all_targets(spark, sf).select("rule_id", "channel_type", "target")
+    return all_targets(spark, sf).select("rule_id", "channel_type", "target")
 
 
 @query(
@@ -340,21 +340,24 @@ def _(spark, sf):
     return alert_delivery.channel_targets(rules).select("rule_id", "channel_type", "target")
 
 
-@query(
-    "alert_deliveries",
-    f"""WITH RECURSIVE {SENT_ROWS}, {TARGETS}
+ALERT_DELIVERIES_SQL = f"""WITH RECURSIVE {SENT_ROWS}, {TARGETS}
       SELECT CAST(m.project_id AS INTEGER) AS project_id, CAST(t.rule_id AS INTEGER) AS rule_id, t.channel_type, t.target,
         '[alert] Rule ' || m.rule_name || ' triggered' AS title, 'pending' AS status, {micros('m.ts')} AS next_attempt_at
-      FROM sent_rows m JOIN targets t ON t.rule_id = m.rule_id""",
-)
-def _(spark, sf):
-    sends = alert_rules.with_notification(_sending(spark, sf))
-    rows = alert_delivery.build_deliveries(sends, _all_targets(spark, sf))
+      FROM sent_rows m JOIN targets t ON t.rule_id = m.rule_id"""
+
+
+def shown_deliveries(rows):
     return rows.select(
         "project_id", "rule_id", "channel_type", "target", "title", "status", micros_text(F.col("next_attempt_at")).alias("next_attempt_at")
     )
 
 
+@query("alert_deliveries", ALERT_DELIVERIES_SQL)
+def _(spark, sf):
+    sends = alert_rules.with_notification(_sending(spark, sf))
+    return shown_deliveries(alert_delivery.build_deliveries(sends, all_targets(spark, sf)))
+
+
 NOW = "2024-01-30 12:00:00"
 
 
@@ -411,7 +414,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     sends = alert_rules.with_notification(_previews(spark, sf))
-    rows = alert_delivery.test_deliveries(sends, _all_targets(spark, sf), 3)
+    rows = alert_delivery.test_deliveries(sends, all_targets(spark, sf), 3)
     return rows.groupBy("channel_type", "target", "title").agg(F.count(F.lit(1)).alias("n"))
 
 
