@@ -27,6 +27,14 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+TIGHT_ROWS = 200_000
+
+
+def tight(df: DataFrame) -> DataFrame:
+    """A stored frame of narrow rows in as few partitions as its rows need, so that small joins stay small jobs."""
+    return df.coalesce(max(1, -(-df.count() // TIGHT_ROWS)))
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A text column as its UTF-8 bytes and row offsets (int64, one more than rows); a null is empty."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

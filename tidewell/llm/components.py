@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import stored
+from tidewell.llm.common import stored, tight
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -26,15 +26,19 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
+def _is_star_forest(edges: DataFrame) -> bool:
+    """Whether each node with an outgoing edge has only one, to a node that has none."""
+    ends = edges.select(F.col("u").alias("node"), F.col("v").alias("to")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(None).cast("long").alias("to"))
+    )
+    odd = ends.groupBy("node").agg(F.min("to").alias("a"), F.max("to").alias("b"), F.count_if(F.col("to").isNull()).alias("n"))
+    return odd.where("a <> b OR (a IS NOT NULL AND n > 0)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) of every node that has an edge to another; edges are (u, v)."""
-    edges = stored(edges.select("u", "v").where("u <> v").distinct())
-    before = None
-    while True:
-        edges = stored(_star(stored(_star(edges, True)), False))
-        seen = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == before:
-            return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node").unionByName(
-                edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            )
-        before = seen
+    edges = tight(stored(_star(edges.select("u", "v").where("u <> v"), False)))
+    while not _is_star_forest(edges):
+        edges = tight(stored(_star(_star(edges, True), False)))
+    centres = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(centres)

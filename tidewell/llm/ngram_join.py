@@ -16,7 +16,8 @@ Sets that share a signature are candidates, and then:
 1. an element that no other candidate has cannot be in an intersection; a candidate with too many such elements links
    with nothing and leaves;
 2. in each group of one signature, all are compared with a hub only: the member with the most shared signatures that
-   was no hub yet. Links join classes to components. This is repeated a few times;
+   was no hub yet. Links join classes to components, and groups inside one component are finished. This is done
+   HUB_ROUNDS times, whatever the size;
 3. what is left are members of one group in different components; these pairs are compared once each.
 
 Comparisons are exact on 64-bit hashes of shingles. Copies are never paired, and groups are never collected: hubs are
@@ -36,12 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import id_and_text, mixed, row_blocks, stored, text_buffers
+from tidewell.llm.common import discard, id_and_text, mixed, row_blocks, stored, text_buffers, tight, written
 from tidewell.llm.components import components
 from tidewell.llm.words import MULTIPLIER, shingle_numbers, word_numbers
 
-BLOCK_BYTES = 4_000_000
-SPARE_PARTS = 2  # parts beyond k + 1, so that few sets have too many empty ones
+BLOCK_BYTES = 1_000_000
+SPARE_PARTS = 2  # parts beyond k + 1, and one more for each SPARE_SHARE, so that few sets have too many empty ones
+SPARE_SHARE = 24
 SCHEMES = 6
 HUB_ROUNDS = 3
 
@@ -88,7 +90,7 @@ def signatures(sets: list[np.ndarray], percent: int) -> list[np.ndarray]:
             band = own[work] + step
             upper = firsts[band + 1] - 1
             k = (2 * upper * (100 - percent)) // (100 + percent)
-            parts = k + 1 + np.where(k > 0, SPARE_PARTS, 0)
+            parts = k + 1 + np.where(k > 0, SPARE_PARTS + k // SPARE_SHARE, 0)
             offsets = np.cumsum(parts) - parts
             elements = np.concatenate([sets[i] for i in work])
             row = np.repeat(np.arange(len(work)), sizes[work])
@@ -175,18 +177,6 @@ def _elements(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(right), lists.filter(right)], ["class", "elements"])
 
 
-def _shared_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    totals: dict[int, int] = {}
-    for batch in _shared_runs(batches):
-        classes, counts = np.unique(batch.column(1).to_numpy(), return_counts=True)
-        for c, n in zip(classes.tolist(), counts.tolist(), strict=True):
-            totals[c] = totals.get(c, 0) + n
-        if len(totals) > 200_000:
-            yield pa.RecordBatch.from_arrays([pa.array(list(totals)), pa.array(list(totals.values()))], ["class", "n"])
-            totals = {}
-    yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int64()), pa.array(list(totals.values()), pa.int64())], ["class", "n"])
-
-
 def _by_key(rows: DataFrame) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "class")
 
@@ -213,60 +203,70 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def class_links(signed: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """u, v: links between classes of different sets, enough to connect every component."""
     rows = signed.select(F.explode("signatures").alias("key"), "class")
-    groups = stored(_by_key(rows).mapInArrow(_shared_runs, "key long, class long"))
+    spark = docs.sparkSession
+    groups, groups_place = written(_by_key(rows).mapInArrow(_shared_runs, "key long, class long"), "signature-groups")
     members = groups.select("class").distinct()
     one = signed.groupBy("class").agg(F.min("_row").alias("_row")).join(members, "class")
     texts = docs.join(one, "_row").select("class", "text")
     sets = texts.mapInArrow(partial(_elements, size=size), "class long, elements array<bigint>")
-    sets = stored(sets.dropDuplicates(["class"]))  # a repeated row is there more than once
+    sets, sets_place = written(sets.dropDuplicates(["class"]), "candidate-sets")  # a repeated row is there more than once
 
     # 1. Elements that nobody else has. Short keys can only make more elements look shared.
     spread = sets.select(F.explode("elements").alias("e"), "class").select((F.col("e") % 2**32).alias("key"), "class")
-    shared = _by_key(spread).mapInArrow(_shared_counts, "class long, n long").groupBy("class").agg(F.sum("n").alias("shared"))
+    shared = _by_key(spread).mapInArrow(_shared_runs, "key long, class long").groupBy("class").agg(F.count("*").alias("shared"))
     alive = sets.select("class", F.size("elements").alias("n")).join(shared, "class").where(100 * F.col("shared") >= percent * F.col("n"))
-    alive = stored(alive.select("class"))
+    alive = tight(stored(alive.select("class")))
     sets = sets.join(alive, "class", "left_semi")
     groups = groups.join(alive, "class", "left_semi")
     degrees = groups.groupBy("class").agg(F.count("*").alias("degree"))
-    groups = stored(groups.join(degrees, "class"))
+    groups = tight(stored(groups.join(degrees, "class")))
+    discard(spark, groups_place)
 
     label = alive.select("class", F.col("class").alias("component"))
-    links = done = None
+    done = spark.createDataFrame([], "u long, v long")
     used = alive.limit(0)
     for turn in range(HUB_ROUNDS + 1):
+        # Groups whose members are in several components yet, and how many pairs they would make.
         state = groups.join(label, "class")
         split = state.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-        state = stored(state.join(split, "key", "left_semi"))
-        if turn < HUB_ROUNDS:
+        state = tight(stored(state.join(split, "key", "left_semi")))
+        if state.isEmpty():
+            break
+        hub_turn = turn < HUB_ROUNDS
+        if hub_turn:
             free = state.join(used, "class", "left_anti")
             hubs = free.groupBy("key").agg(F.max(F.struct("degree", "class", "component")).alias("h"))
             pairs = state.join(hubs, "key").where((F.col("component") != F.col("h.component")) & (F.col("class") != F.col("h.class")))
             pairs = pairs.select(F.least("class", "h.class").alias("u"), F.greatest("class", "h.class").alias("v"))
-            used = stored(used.unionByName(hubs.select("h.class")).distinct())
+            used = tight(stored(used.unionByName(hubs.select("h.class")).distinct()))
         else:
             other = state.select("key", F.col("class").alias("v"), F.col("component").alias("other"))
             pairs = state.join(other, "key").where("class < v AND component <> other").select(F.col("class").alias("u"), "v")
-        pairs = pairs.distinct()
-        pairs = pairs if done is None else pairs.join(done, ["u", "v"], "left_anti")
-        judged = stored(compared(pairs, sets, percent))
-        done = judged.select("u", "v") if done is None else done.unionByName(judged.select("u", "v"))
-        new = judged.where("linked").select("u", "v")
-        links = new if links is None else links.unionByName(new)
-        if judged.isEmpty():
+        pairs = tight(stored(pairs.distinct().join(done, ["u", "v"], "left_anti")))
+        judged = tight(stored(compared(pairs, sets, percent)))
+        done = done.unionByName(judged.select("u", "v"))
+        # New links join components; only these are a graph to be solved.
+        ends = [label.select(F.col("class").alias(x), F.col("component").alias(f"{x}c")) for x in "uv"]
+        joins = judged.where("linked").join(ends[0], "u").join(ends[1], "v").select(F.col("uc").alias("u"), F.col("vc").alias("v"))
+        found = components(joins).withColumnRenamed("component", "joined")
+        label = label.join(found, F.col("component") == F.col("node"), "left")
+        label = tight(stored(label.select("class", F.coalesce("joined", "component").alias("component"))))
+        if not hub_turn:
             break
-        found = components(links)
-        label = stored(alive.join(found, F.col("class") == F.col("node"), "left").select("class", F.coalesce("component", "class").alias("component")))
+    discard(spark, sets_place)
     return label.where("class <> component").select(F.col("class").alias("u"), F.col("component").alias("v"))
 
 
 def similarity_components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of each row."""
     rows = id_and_text(docs).select("doc_id", F.xxhash64("doc_id", "text").alias("_row"), "text")
-    signed = stored(rows.mapInArrow(partial(_sign, size=size, percent=percent), SETS))
+    signed, place = written(rows.mapInArrow(partial(_sign, size=size, percent=percent), SETS), "signatures")
     links = class_links(signed, rows.select("_row", "text"), size, percent)
     sets = signed.select("doc_id", "n_shingles", "class")
     empty = sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     placed = sets.where("n_shingles > 0").join(links, F.col("class") == F.col("u"), "left")
     placed = stored(placed.select("doc_id", "n_shingles", F.coalesce("v", "class").alias("c")))
+    empty = stored(empty)
+    discard(docs.sparkSession, place)
     first = placed.groupBy("c").agg(F.min("doc_id").alias("component_id"))
     return placed.join(first, "c").select("doc_id", "n_shingles", "component_id").unionByName(empty)

@@ -36,7 +36,7 @@ from tidewell.llm.words import MULTIPLIER, word_numbers
 
 PREFIX = 20
 MIN_WORDS = 50
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 1_000_000
 NO_ID = 2**63 - 1
 
 
