@@ -13,7 +13,7 @@ bytes on a text has the first one; texts of similar length share a kind of chain
 one shorter than SHORT_WIDTH, has itself as its only feature.
 
 Rows: a null text is empty; an empty text has the fingerprint "", alike to empty ones only. The next document is the
-one behind in descending doc_id order (nulls last, equal ids by text), the first one after the last. Repeated rows are
+one behind in descending doc_id order (nulls last, equal ids by a hash of the text), the first one after the last. Repeated rows are
 documents of their own. Further columns are not read. An empty table gives no rows. Texts are used whole.
 
 Documents are put in order by one range exchange. Each task holds its last document back; those, and the first one of
@@ -30,6 +30,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -264,9 +265,18 @@ TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float
 NAMES = [x.split()[0] for x in RESULT.split(", ")]
 
 
+def _pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one, for the exchange that orders them."""
+    press = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        texts = [press(t.encode()) for t in batch.column(1).fill_null("").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(texts, pa.binary())], ["doc_id", "tie", "pressed"])
+
+
 def _in_order(batches: Iterator[pa.RecordBatch], ranks: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Documents of one task in order: all but the last are compared; the first and the last go on as edges."""
     part = TaskContext.get().partitionId()
+    unpress = zstandard.ZstdDecompressor().decompress
     held: list[tuple] = []
 
     def edge(kind: str, doc: tuple) -> pa.RecordBatch:
@@ -276,9 +286,9 @@ def _in_order(batches: Iterator[pa.RecordBatch], ranks: np.ndarray) -> Iterator[
 
     first = True
     for batch in batches:
-        texts = pa.array(batch.column(1)).fill_null("")
         for at in range(0, batch.num_rows, 500):
-            docs = [*held, *zip(batch.column(0)[at : at + 500].to_pylist(), texts[at : at + 500].to_pylist(), strict=True)]
+            texts = [unpress(t).decode() for t in batch.column(1)[at : at + 500].to_pylist()]
+            docs = [*held, *zip(batch.column(0)[at : at + 500].to_pylist(), texts, strict=True)]
             if first:
                 yield edge("first", docs[0])
                 first = False
@@ -307,8 +317,10 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     the document's fingerprint with the copy's and with the next document's).
     """
     ranks = rarity(docs)
-    ordered = id_and_text(docs).repartitionByRange(F.col("doc_id").desc_nulls_last())
-    ordered = ordered.sortWithinPartitions(F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first())
+    rows = id_and_text(docs).withColumn("tie", F.xxhash64("text"))
+    pressed = rows.mapInArrow(_pressed, "doc_id long, tie long, pressed binary")
+    ordered = pressed.repartitionByRange(F.col("doc_id").desc_nulls_last())
+    ordered = ordered.sortWithinPartitions(F.col("doc_id").desc_nulls_last(), "tie").select("doc_id", "pressed")
     found, _ = written(ordered.mapInArrow(partial(_in_order, ranks=ranks), PASS), "fingerprints")
     edges = found.where("edge IS NOT NULL").select("part", "edge", "doc_id", "text")
     # Two rows per task: each task's last document meets the next task's first one.
