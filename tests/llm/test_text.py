@@ -153,6 +153,18 @@ def test_personal_data_in_made_texts(spark, odd, none):
     assert pii.report(pii.find(none)).count() == 0
 
 
+def test_addresses_with_zero_octets(spark):
+    values = ["10.0.0.1", "127.0.0.1", "0.0.0.0", "000.1.1.1", "00.00.00.00", "1.2.3.0255", "0256.1.1.1", "1.2.3.256", "192.168.1.10", "300.0.0.1"]
+    docs = [(i, f"from {v}, or so") for i, v in enumerate(values)] + [(90, "0" * 4_000 + ".0.0.1"), (91, "0" * 4_000 + "999.0.0.1")]
+    found = {x.doc_id: x for x in pii.report(pii.find(frame(spark, docs))).collect()}
+    redacted = {x.doc_id: x.text for x in pii.redact(frame(spark, docs)).collect()}
+    for i, text in docs:
+        base = brute.personal(text)
+        assert found[i].base_sha256 == brute.sha(brute.spans_text(base)) and found[i].n_ip == len(base)
+        assert ("[IP]" in redacted[i]) == bool(base)
+    assert redacted[0] == redacted[1] == redacted[2] == redacted[3] == "from [IP], or so"
+
+
 def test_contexts_discover_other_forms(spark):
     docs = []
     for i in range(60):

@@ -43,7 +43,7 @@ NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 HIDDEN = "￼"  # stands for each character of a seed while candidates are looked for
 #: A token with a digit or an at sign that no seed touches, and groups of digits behind it.
 CANDIDATE = rf"(?<!\S)[^\s{HIDDEN}0-9@]*+[0-9@][^\s{HIDDEN}]*+(?!{HIDDEN})(?:\x20[(+]?[0-9][0-9().-]*+(?!\S))*+"
-OCTET = r"0*+(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
+OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 IPV4 = rf"^{OCTET}\.{OCTET}\.{OCTET}\.{OCTET}$"
 
 MENTION = "array<struct<kind:string,start:bigint,end:bigint,value:string,context:bigint>>"
