@@ -178,6 +178,22 @@ def test_contexts_discover_other_forms(spark):
     assert redacted[5] == "the cat 12 sat of it please reach me at [EMAIL], or so. the 1999 of it 5 end"
 
 
+def test_near_duplicates_by_row(spark):
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(100))
+    near = lambda k: text(k) + " more"
+    docs = [
+        (3, text("a")), (7, near("a")), (7, text("b")),  # 7 is also the id of another text
+        (1, text("c")), (3, near("c")),  # 3 stays in the first group and goes from this one
+        (8, text("d")), (8, near("d")),  # near copies of one id
+        (None, text("e")), (None, text("e")), (None, near("e")),  # no id in the group
+        (None, text("f")), (9, near("f")), (9, near("f")),
+        (None, None), (None, ""), (None, ""),
+    ]
+    out = [tuple(x) for x in corpus_pipeline.drop_near_duplicates(spark, frame(spark, docs), "").collect()]
+    left = Counter((d, (t or "")[:1]) for d, t in out)
+    assert left == {(3, "a"): 1, (7, "b"): 1, (1, "c"): 1, (8, "d"): 1, (None, "e"): 1, (9, "f"): 1, (None, ""): 3}
+
+
 def test_pipeline_stages(spark, documents, odd, none, sf_dir):
     docs = documents
     for name, stage in corpus_pipeline.STAGES[:-1]:

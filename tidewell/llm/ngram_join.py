@@ -257,16 +257,33 @@ def class_links(signed: DataFrame, docs: DataFrame, size: int, percent: int) ->
     return label.where("class <> component").select(F.col("class").alias("u"), F.col("component").alias("v"))
 
 
-def similarity_components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of each row."""
-    rows = id_and_text(docs).select("doc_id", F.xxhash64("doc_id", "text").alias("_row"), "text")
+def with_row(docs: DataFrame) -> DataFrame:
+    """Adds _row, a number for the row's id and text; equal rows have the same."""
+    return docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+
+
+def _placed(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, _row, n_shingles and c (the component) of each row with words; doc_id and n_shingles of the others."""
+    rows = with_row(id_and_text(docs)).select("doc_id", "_row", "text")
     signed, place = written(rows.mapInArrow(partial(_sign, size=size, percent=percent), SETS), "signatures")
     links = class_links(signed, rows.select("_row", "text"), size, percent)
-    sets = signed.select("doc_id", "n_shingles", "class")
-    empty = sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    sets = signed.select("doc_id", "_row", "n_shingles", "class")
+    empty = sets.where("n_shingles = 0").select("doc_id", "n_shingles")
     placed = sets.where("n_shingles > 0").join(links, F.col("class") == F.col("u"), "left")
-    placed = stored(placed.select("doc_id", "n_shingles", F.coalesce("v", "class").alias("c")))
+    placed = stored(placed.select("doc_id", "_row", "n_shingles", F.coalesce("v", "class").alias("c")))
     empty = stored(empty)
     discard(docs.sparkSession, place)
+    return placed, empty
+
+
+def row_components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
+    """doc_id, _row (see ``with_row``) and component of each row that has words."""
+    return _placed(docs, size, percent)[0].select("doc_id", "_row", F.col("c").alias("component"))
+
+
+def similarity_components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of each row."""
+    placed, empty = _placed(docs, size, percent)
+    empty = empty.withColumn("component_id", F.col("doc_id"))
     first = placed.groupBy("c").agg(F.min("doc_id").alias("component_id"))
     return placed.join(first, "c").select("doc_id", "n_shingles", "component_id").unionByName(empty)
