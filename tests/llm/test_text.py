@@ -178,6 +178,21 @@ def test_contexts_discover_other_forms(spark):
     assert redacted[5] == "the cat 12 sat of it please reach me at [EMAIL], or so. the 1999 of it 5 end"
 
 
+def test_language_stage_rejects_by_score(spark, documents):
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    noise = ["".join(rng.choice(letters + "    ") for _ in range(n)) for n in (200, 700, 3000, 20_000)]
+    noise += ["".join(rng.choice(letters + letters.upper() + "0123456789+/") for _ in range(n)) for n in (400, 4000)]
+    clean = [(x.doc_id, x.text, x.lang) for x in documents.collect() if any(c.isalpha() for c in x.text or "")]
+    longer = [(10_000 + d, t, None) for d, t, _ in clean if len(t) > 500]  # the same, without their labels
+    rows = clean + longer + [(20_000 + i, t, None) for i, t in enumerate(noise)] + [(30_000, "123 !!", None), (30_001, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    out = corpus_pipeline.identify_language(spark, frame, "")
+    assert {x.doc_id for x in out.collect()} == {x[0] for x in clean + longer}
+    unlabelled = corpus_pipeline.identify_language(spark, frame.withColumn("lang", F.lit(None).cast("string")), "")
+    assert {x.doc_id for x in unlabelled.collect()} == {x[0] for x in rows if x[0] < 30_000}
+
+
 def test_near_duplicates_by_row(spark):
     text = lambda k: " ".join(f"{k}w{i}" for i in range(100))
     near = lambda k: text(k) + " more"

@@ -19,9 +19,9 @@ from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from tidewell.llm.common import row_blocks, text_buffers
 
@@ -31,6 +31,8 @@ GAP = 0
 UNKNOWN = "und"
 BLOCK_BYTES = 2_000_000
 DENSE = 4_000_000
+LABELLED_ROWS = 20  # fewer labelled texts of a size give no least score
+SCORE_SHARE = 0.5  # of the lowest score of a labelled text, which has taken part in its own prototype
 
 
 @cache
@@ -193,15 +195,58 @@ def _with_language(batches: Iterator[pa.RecordBatch], prototypes: dict[str, np.n
     for batch in batches:
         text = batch.column(batch.schema.get_field_index("text"))
         found = next(_predict(iter([pa.RecordBatch.from_arrays([text, text], ["key", "text"])]), prototypes))
-        yield pa.RecordBatch.from_arrays([*batch.columns, found.column(1)], [*batch.schema.names, "_lang"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, *found.columns[1:]], [*batch.schema.names, "_lang", "_score"])
 
 
 def with_language(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
-    """The documents with their language as one more column, _lang."""
-    schema = StructType([*docs.schema.fields, StructField("_lang", StringType())])
+    """The documents with their language and its score as two more columns, _lang and _score."""
+    schema = StructType([*docs.schema.fields, StructField("_lang", StringType()), StructField("_score", DoubleType())])
     return docs.mapInArrow(partial(_with_language, prototypes=prototypes), schema)
 
 
+def _letters_of(text: Column) -> Column:
+    return F.length(F.regexp_replace(text.cast("string"), r"\P{L}+", ""))
+
+
+def _size(text: Column) -> Column:
+    """The number of letters as a power of two, rounded down."""
+    return F.floor(F.log2(F.greatest(_letters_of(text), F.lit(1)))).cast("int")
+
+
+def least_scores(labelled: DataFrame, prototypes: dict[str, np.ndarray]) -> dict[int, float]:
+    """By size (power of two of letters) SCORE_SHARE of the lowest score of labelled texts of that size or more.
+
+    Sizes below the shortest labelled text, and those with fewer than LABELLED_ROWS such texts, have no entry.
+    """
+    rows = with_language(labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("text"), prototypes)
+    rows = rows.where(F.col("_lang") != UNKNOWN).groupBy(_size(F.col("text")).alias("size"))
+    found = rows.agg(F.min("_score").alias("score"), F.count("*").alias("n")).orderBy(F.desc("size")).collect()  # one row per size
+    out, least, n = {}, 1.0, 0
+    for i, row in enumerate(found):
+        least, n = min(least, row.score), n + row.n
+        shorter = found[i + 1].size if i + 1 < len(found) else row.size - 1
+        if n >= LABELLED_ROWS:
+            out.update(dict.fromkeys(range(shorter + 1, row.size + 1), SCORE_SHARE * least))
+    return out
+
+
+def recognised(docs: DataFrame) -> DataFrame:
+    """The documents whose language can be told, by prototypes and least scores of their own labelled rows.
+
+    Without any prototype these are all documents with a letter.
+    """
+    prototypes = train(docs)
+    if not prototypes:
+        return docs.where(F.coalesce(_letters_of(F.col("text")) > 0, F.lit(False)))
+    least = least_scores(docs, prototypes)
+    rows = with_language(docs, prototypes).where(F.col("_lang") != UNKNOWN)
+    if least:
+        size = F.least(_size(F.col("text")), F.lit(max(least)))  # longer than all labelled ones: as the longest
+        bar = F.create_map(*(F.lit(x) for item in least.items() for x in item))[size]
+        rows = rows.where(F.col("_score") >= F.coalesce(bar, F.lit(0.0)))
+    return rows.select(*docs.columns)
+
+
 def held_out(doc_id):
     """A fifth of the documents, by id, that training never sees."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
