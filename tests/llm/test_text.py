@@ -178,6 +178,20 @@ def test_contexts_discover_other_forms(spark):
     assert redacted[5] == "the cat 12 sat of it please reach me at [EMAIL], or so. the 1999 of it 5 end"
 
 
+def test_rare_contexts_beside_many_seeds(spark):
+    """Contexts of 5 to 50 instances count the same beside 60,000 other seeds and copies of one row."""
+    docs = []
+    for size, word in ((4, "four"), (5, "five"), (20, "twenty"), (50, "fifty")):
+        docs += [(len(docs) + i, f"note {word} under: s{size}n{i}@mail.org, or so") for i in range(size)]
+        docs.append((len(docs), f"note {word} under: s{size}(at)mail9, or so"))
+    others = spark.range(40_000).selectExpr("1000 + id AS doc_id", "concat('x', id, ' y', id, ' z', id, '@far.org') AS text")
+    copies = spark.range(20_000).selectExpr("100000 + id AS doc_id", "'same old row a@b.org' AS text")
+    found = pii.find(frame(spark, docs).unionByName(others).unionByName(copies)).where("size(discovered) > 0")
+    values = {m.value for x in found.collect() for m in x.discovered}
+    # Four seeds and the other form are five instances.
+    assert values == {f"s{size}(at)mail9" for size in (4, 5, 20, 50)}
+
+
 def test_language_stage_rejects_by_score(spark, documents):
     rng = random.Random(4)
     letters = "abcdefghijklmnopqrstuvwxyz"

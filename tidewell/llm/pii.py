@@ -8,8 +8,8 @@ case, are its lexical pattern. Patterns and instances (the mentions' values) for
   of the corpus where those two words stand, whatever follows;
 - the confidence of an instance is that of any of its patterns being right, 1 - product(1 - confidence); seeds have 1.
 
-Only patterns with at least ``min_support`` different instances, and ``min_share`` of the number of seeds, are scored;
-the share keeps chance company out at every size. After the last round, candidates behind a
+Only patterns with at least ``min_support`` different instances are scored, however large the corpus; chance company
+stays out because its two words stand in many places without a mention. After the last round, candidates behind a
 pattern of at least ``min_confidence`` are mentions of its kind.
 
 Counts cover all documents, and only graph nodes are joined and grouped, pre-aggregated by pattern and instance, so a
@@ -183,11 +183,12 @@ def _places(docs: DataFrame, contexts: DataFrame) -> DataFrame:
     texts = docs.where("text IS NOT NULL").select(words.alias("words")).where(F.size("words") > 1)
     n = F.size("words") - 1
     pairs = texts.select(F.inline(F.arrays_zip(F.slice("words", F.lit(1), n).alias("a"), F.slice("words", F.lit(2), n).alias("b"))))
-    pairs = pairs.select(F.xxhash64("a", "b").alias("context"))
-    return pairs.join(small_side(contexts.select("context"), 8), "context", "left_semi").groupBy("context").agg(F.count("*").alias("places"))
+    # Counted before the join, which then sees each pair of words once.
+    counts = pairs.groupBy(F.xxhash64("a", "b").alias("context")).agg(F.count("*").alias("places"))
+    return counts.join(small_side(contexts.select("context"), 8), "context", "left_semi")
 
 
-def learn_patterns(found: DataFrame, docs: DataFrame, min_support: int = 5, min_share: float = 0.001, min_confidence: float = 0.6, rounds: int = 3) -> DataFrame:
+def learn_patterns(found: DataFrame, docs: DataFrame, min_support: int = 5, min_confidence: float = 0.6, rounds: int = 3) -> DataFrame:
     """context, kind, confidence of the high-confidence patterns; at most one kind for each context.
 
     found is a stored result of ``mentions``, docs the documents that it comes from.
@@ -196,9 +197,7 @@ def learn_patterns(found: DataFrame, docs: DataFrame, min_support: int = 5, min_
         F.col("m.context").alias("context"), F.col("m.value").alias("value"), F.col("m.kind").alias("kind")
     )
     edges = edge.where("context IS NOT NULL").groupBy("context", "value", "kind").agg(F.count("*").alias("n"))
-    total = edges.where("kind <> 'candidate'").agg(F.sum("n").alias("n")).first().n or 0
-    enough = max(min_support, min_share * total)
-    supported = edges.groupBy("context").agg(F.count_distinct("value").alias("instances")).where(F.col("instances") >= enough)
+    supported = edges.groupBy("context").agg(F.count_distinct("value").alias("instances")).where(F.col("instances") >= min_support)
     # Contexts that no seed has can only matter through instances that have others; those stay in the graph.
     supported = stored(supported.select("context"))
     edges = stored(edges.join(supported, "context", "left_semi"))
@@ -227,12 +226,12 @@ def learn_patterns(found: DataFrame, docs: DataFrame, min_support: int = 5, min_
     return kept.select("context", F.col("best.kind").alias("kind"), F.col("best.confidence").alias("confidence"))
 
 
-def find(docs: DataFrame, min_support: int = 5, min_confidence: float = 0.6, rounds: int = 3, min_share: float = 0.001) -> DataFrame:
+def find(docs: DataFrame, min_support: int = 5, min_confidence: float = 0.6, rounds: int = 3) -> DataFrame:
     """The columns of documents but the text, with base and discovered: mentions (kind, start, end, value)."""
     carried = [c for c in docs.columns if c != "text"]
     found = mentions(docs.select(*carried, "text")).drop("text").withColumn("_row", F.monotonically_increasing_id())
     found = stored(found)  # the row numbers are fixed from here on
-    patterns = learn_patterns(found, docs, min_support, min_share, min_confidence, rounds)
+    patterns = learn_patterns(found, docs, min_support, min_confidence, rounds)
     fresh = found.select("_row", F.explode("candidates").alias("m")).select("_row", "m", F.col("m.context").alias("context"))
     fresh = fresh.join(patterns.withColumnRenamed("kind", "_kind"), "context").select(
         "_row", F.struct(F.col("_kind").alias("kind"), "m.start", "m.end", "m.value").alias("m")
