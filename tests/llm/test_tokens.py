@@ -110,6 +110,31 @@ def test_patterns_hold_the_histogram():
         assert placed == histogram
 
 
+def test_hot_lengths_share_packs():
+    many = dict.fromkeys(range(20, 2049), 40)
+    cases = [
+        ({300: 100_000}, 16_667),  # six fit into each
+        ({2048: 5000, 300: 30_000, 120: 100}, 10_000),
+        (many | {60: 40_000}, 42_200),
+        (many | {1: 40_000}, 41_000),
+        ({1: 50_000, 700: 100_000}, 50_000),
+    ]
+    for histogram, enough in cases:
+        placed, packs = Counter(), 0
+        for count, lengths in packing.place_lengths(histogram, 2048):
+            assert sum(lengths) <= 2048
+            packs += count
+            for length in lengths:
+                placed[length] += count
+        assert placed == histogram and packs <= enough
+
+
+def test_packing_of_copies_and_empty_texts(spark):
+    docs = [(i, None if i % 3 == 0 else "one two three four five six" if i % 3 == 1 else "word " * (i % 40)) for i in range(600)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert check_packing(packing.pack(frame, queries.BYTE_BPE, 1, 64).collect(), docs, 64) < 0.05
+
+
 def check_packing(packed, docs, most):
     ids = expected(docs, queries.BYTE_BPE)
     assert Counter((x.doc_id, x.doc_tokens, x.length, x.start, x.ids_crc32) for x in packed) == Counter(

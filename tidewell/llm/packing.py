@@ -3,7 +3,7 @@
 A document's ids, with the end id, are cut at multiples of the sequence length; the pieces are full, but for the last.
 Only the histogram of piece lengths (at most one row per length) goes to the driver. There, lengths are placed longest
 first: all pieces of a length go onto the shortest packs that have room, as many at once as there are packs of that
-pattern, and onto new packs if none has room. What changes are counts of patterns, so the work does not depend on the
+pattern; if none has room, the rest goes onto new packs, as many pieces into each as fit. What changes are counts of patterns, so the work does not depend on the
 number of documents. Pieces then find their places by rank: the r-th piece of a length takes the r-th place for it.
 
 Ranks are counted by length and salt, so a length that many documents share is numbered in many tasks.
@@ -78,6 +78,16 @@ def place_lengths(histogram: dict[int, int], most: int) -> list[tuple[int, list[
             packs[room] = [[count, pattern]]
             heapq.heappush(rooms, -room)
 
+    def opened(count: int, length: int) -> Iterator[tuple[int, tuple, int]]:
+        """New packs for count pieces of a length, each but the last as full as they make it."""
+        each = most // length
+        for packs_of, pieces in ((count // each, each), (1, count % each)):
+            if packs_of and pieces:
+                pattern = None
+                for _ in range(pieces):
+                    pattern = (length, pattern)
+                yield packs_of, pattern, most - pieces * length
+
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
         changed = []  # packs that got this length stay aside until no pack without it has room
@@ -85,16 +95,11 @@ def place_lengths(histogram: dict[int, int], most: int) -> list[tuple[int, list[
             while rooms and not packs.get(-rooms[0]):
                 packs.pop(-heapq.heappop(rooms), None)
             if not rooms or -rooms[0] < length:
-                if not changed:
-                    keep_room = most - length
-                    changed.append((left, (length, None), keep_room))
-                    left = 0
-                    break
                 for item in changed:
                     keep(*item)
                 changed = []
                 if not rooms or -rooms[0] < length:
-                    changed.append((left, (length, None), most - length))
+                    changed += opened(left, length)
                     left = 0
                 continue
             room = -rooms[0]
