@@ -9,7 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidewell.llm import bpe, chat, exact_topk, fingerprints, language_id, ngram_join, packing, pii, suffix_dedup, token_shards
+from tidewell.llm import (
+    bpe,
+    chat,
+    exact_topk,
+    fingerprints,
+    hard_negatives,
+    language_id,
+    neighbour_graph,
+    ngram_join,
+    packing,
+    periodic_runs,
+    pii,
+    suffix_dedup,
+    token_shards,
+)
 from tidewell.llm.common import table
 from tidewell.session import run_dir
 
@@ -162,6 +176,77 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_edits(table(spark, sf_dir, "documents"))
 
 
+NEAR_SQL = """
+WITH RECURSIVE usable AS (
+    SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT a.r AS x, b.r AS y FROM usable a JOIN usable b ON a.label = b.label AND len(a.v) = len(b.v) AND a.r <> b.r
+    WHERE list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.93
+), reach AS (
+    SELECT r AS x, r AS y FROM usable UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y
+), least AS (
+    SELECT u.vec_id, (SELECT count(*) FROM links l WHERE l.x = u.r) AS n_links, min(o.vec_id) AS component_id
+    FROM usable u JOIN reach r ON r.x = u.r JOIN usable o ON o.r = r.y GROUP BY u.r, u.vec_id
+), every AS (
+    SELECT vec_id, n_links, component_id FROM least
+    UNION ALL
+    SELECT vec_id, 0, vec_id FROM embeddings
+    WHERE vec_id IS NULL OR label IS NULL OR embedding IS NULL OR len(embedding) = 0
+        OR len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) > 0
+        OR len(list_filter(embedding, lambda x: x <> 0)) = 0
+)
+SELECT vec_id, n_links::BIGINT AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM every
+"""
+
+
+@query("op11_embedding_near_dedup", NEAR_SQL)
+def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of vectors of one label with a cosine of 0.93 or more."""
+    return neighbour_graph.near_duplicates(table(spark, sf_dir, "embeddings"), 0.93)
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of all documents, a tenth of them with a planted periodic tail, and what stays without the repetitions."""
+    return periodic_runs.report(periodic_runs.find_runs(table(spark, sf_dir, "documents"), rewritten=True))
+
+
+NEGATIVES_SQL = """
+WITH whole AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), anchors AS (
+    SELECT row_number() OVER () AS anchor, * FROM (SELECT DISTINCT vec_id, label, v FROM whole WHERE vec_id % 50 = 0)
+), scored AS (
+    SELECT a.anchor, a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_dot_product(a.v, c.v)::BIGINT AS score
+    FROM anchors a JOIN whole c ON a.vec_id <> c.vec_id
+), positives AS (
+    SELECT anchor, row_number() OVER w AS slot, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+    WINDOW w AS (PARTITION BY anchor ORDER BY score DESC, vec_id)
+    QUALIFY slot <= 5
+)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, n.vec_id AS negative_id, positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON n.anchor = p.anchor AND NOT n.same
+    AND 50 * positive_score <= 100 * n.score AND 100 * n.score <= 95 * positive_score
+WINDOW w AS (PARTITION BY p.anchor, p.slot ORDER BY n.score DESC, n.vec_id)
+QUALIFY rank <= 3
+"""
+
+
+@query("op13_hard_negatives", NEGATIVES_SQL)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three hard negatives for each of the five best positives of every fiftieth vector; every seventh one has a wrong label."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
