@@ -23,9 +23,10 @@ def odd(spark):
         (7, "1234 5678 !!!", "de", 7),
         (8, "mail a.b@c.example, 10.0.0.1 and +1 (988) 555-2485", "de", 8),
     ]
-    rows = [(*r, r[3], r[3], "class") for r in rows]
+    own = "base candidates discovered doc _row _lang _score _unit _id _spans runs"
+    rows = [(*r, r[3], r[3], "class", *[f"{c} {r[0]}" for c in own.split()]) for r in rows]
     schema = "doc_id long, text string, lang string, rank int, length int, start int, class string"
-    return spark.createDataFrame(rows, schema)
+    return spark.createDataFrame(rows, ", ".join([schema, *(f"{c} string" for c in own.split())]))
 
 
 @pytest.fixture(scope="session")

@@ -150,6 +150,8 @@ def test_personal_data_in_made_texts(spark, odd, none):
     found = {x.doc_id: x for x in pii.report(pii.find(frame(spark, list(enumerate(texts))))).collect()}
     assert all(found[i].base_sha256 == brute.sha(brute.spans_text(brute.personal(t))) for i, t in enumerate(texts))
     assert pii.report(pii.find(odd)).count() == odd.count() and pii.redact(odd).columns == odd.columns
+    unchanged = [c for c in odd.columns if c != "text"]
+    assert Counter(pii.redact(odd).select(unchanged).collect()) == Counter(odd.select(unchanged).collect())
     assert pii.report(pii.find(none)).count() == 0
 
 
@@ -178,6 +180,25 @@ def test_contexts_discover_other_forms(spark):
     assert redacted[5] == "the cat 12 sat of it please reach me at [EMAIL], or so. the 1999 of it 5 end"
 
 
+def test_contexts_across_lines_and_other_mentions(spark):
+    """The two words before a mention count whatever white space follows them, also behind another mention, and at any length."""
+    long = "w" * 300
+    docs = [(i, f"please reach me at u{i}@mail{i}.com, or so") for i in range(12)]
+    docs += [(20 + i, f"copies {long} {long} v{i}@mail{i}.com end") for i in range(12)]
+    docs += [(40 + i, f"and c{i}@far.org me at w{i}@mail{i}.com end") for i in range(3)]
+    hidden = ["reach me at\nz8(at)mail8", "reach me at\t z8(at)mail8 x", "a@b.org c@d.org me at z8(at)mail8", f"on {long}\n{long}\tz8(at)mail8"]
+    docs += [(100 + i, t) for i, t in enumerate(hidden)]
+    docs += [(110, "at z8(at)mail8"), (111, "me atz z8(at)mail8"), (112, "xme.at z8(at)mail8")]
+    found = pii.find(frame(spark, docs)).where("size(discovered) > 0").select("doc.doc_id", "discovered.value").collect()
+    assert {(x.doc_id, *x.value) for x in found} == {(100 + i, "z8(at)mail8") for i in range(4)}
+
+
+def test_places_are_counted_before_the_join(spark):
+    docs = frame(spark, [(1, "one two one two three")])
+    plan = pii._places(docs, docs.selectExpr("xxhash64('one', 'two') AS context"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate") and "LeftSemi" not in plan
+
+
 def test_rare_contexts_beside_many_seeds(spark):
     """Contexts of 5 to 50 instances count the same beside 60,000 other seeds and copies of one row."""
     docs = []
@@ -240,6 +261,10 @@ def test_pipeline_stages(spark, documents, odd, none, sf_dir):
             assert not any(brute.personal(x.text) for x in out.values())
         docs = after.sparkSession.createDataFrame(after.collect(), after.schema)
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).select("doc_id").distinct().count() == len(out)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        extra = [c for c in odd.columns if c not in ("text", "n_chars")]
+        values = {tuple(x) for x in odd.select(extra).collect()}
+        assert {tuple(x) for x in stage(spark, odd, sf_dir).select(extra).collect()} <= values, name
     for start in (odd, none):
         docs = start
         for _, stage in corpus_pipeline.STAGES:

@@ -19,6 +19,18 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def folded(docs: DataFrame) -> DataFrame:
+    """doc, a struct of all columns but the text, and text: whatever names the columns have, an operator's own ones never meet them."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return docs.select(F.struct(*(others or [F.lit(None).cast("int").alias("none")])).alias("doc"), F.col("text").cast("string").alias("text"))
+
+
+def unfolded(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs``, from the doc and text of a frame that ``folded`` began."""
+    kind = docs.schema["text"].dataType
+    return df.select(*(F.col("text").cast(kind).alias("text") if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns))
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write a frame once to the shared checkpoint folder, for several readers; losing an executor loses nothing."""
     spark = df.sparkSession

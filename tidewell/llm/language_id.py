@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tidewell.llm.common import row_blocks, text_buffers
+from tidewell.llm.common import folded, row_blocks, text_buffers, unfolded
 
 DIMENSIONS = 1024
 N = 3
@@ -239,12 +239,12 @@ def recognised(docs: DataFrame) -> DataFrame:
     if not prototypes:
         return docs.where(F.coalesce(_letters_of(F.col("text")) > 0, F.lit(False)))
     least = least_scores(docs, prototypes)
-    rows = with_language(docs, prototypes).where(F.col("_lang") != UNKNOWN)
+    rows = with_language(folded(docs), prototypes).where(F.col("_lang") != UNKNOWN)
     if least:
         size = F.least(_size(F.col("text")), F.lit(max(least)))  # longer than all labelled ones: as the longest
         bar = F.create_map(*(F.lit(x) for item in least.items() for x in item))[size]
         rows = rows.where(F.col("_score") >= F.coalesce(bar, F.lit(0.0)))
-    return rows.select(*docs.columns)
+    return unfolded(rows, docs)
 
 
 def held_out(doc_id):

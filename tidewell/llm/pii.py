@@ -16,7 +16,7 @@ Counts cover all documents, and only graph nodes are joined and grouped, pre-agg
 frequent pattern is spread over its instances.
 
 Rows: a null text is empty; each row is a document of its own, repeated or not, and null ids are kept. Spans are code
-points, end exclusive. Ties cannot arise: mentions of one kind do not overlap, and a candidate that two kinds claim
+points, end exclusive. Words are what white space separates, also across lines and behind other mentions. Ties cannot arise: mentions of one kind do not overlap, and a candidate that two kinds claim
 goes to the more confident one, then to the kind listed first. Further columns are left alone. An empty table gives no
 rows.
 """
@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import small_side, stored
+from tidewell.llm.common import folded, small_side, stored, unfolded
 
 #: The seed patterns (fixed values). Quantifiers are possessive, and a run is entered at its start or where the last
 #: match ended, which finds the same matches without trying every start of a long run.
@@ -47,7 +47,6 @@ OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 IPV4 = rf"^{OCTET}\.{OCTET}\.{OCTET}\.{OCTET}$"
 
 MENTION = "array<struct<kind:string,start:bigint,end:bigint,value:string,context:bigint>>"
-CONTEXT_CHARS = 200
 BLOCK = 256
 
 
@@ -67,13 +66,23 @@ def _offsets(lengths: Column) -> Column:
     return F.flatten(F.zip_with(blocks, firsts, _appended))
 
 
-def context_words(before: Column) -> Column:
-    """A number for the last two words in front of a mention; null without white space right before it or without two words."""
-    tail = F.right(before, F.lit(CONTEXT_CHARS))
-    words = F.split(F.lower(F.rtrim(tail)), r"\s+", -1)
-    n = F.size(words)
-    whole = (n >= 3) | ((n == 2) & (F.length(before) <= CONTEXT_CHARS) & (F.element_at(words, 1) != ""))
-    return F.when(tail.rlike(r"\s$") & whole, F.xxhash64(F.element_at(words, n - 1), F.element_at(words, n)))
+#: The last two words of a text that ends in white space; the first one is whole. Words are entered at their start only.
+LAST_WORDS = r"(?<!\S)(\S++)\s++(\S++)\s++$"
+LAST_WORDS_INSIDE = r"(?<=\s)(\S++)\s++(\S++)\s++$"
+
+
+def context_words(before: Column, whole: Column) -> Column:
+    """A number for the two words in front of a mention; null without white space right before it or without two words.
+
+    ``before`` is the text before it, or (if not ``whole``) its last part, whose first word may be cut.
+    """
+    low = F.lower(before)
+
+    def number(pattern: str) -> Column:
+        first, second = (F.regexp_extract(low, pattern, i) for i in (1, 2))
+        return F.when(first != "", F.xxhash64(first, second))
+
+    return F.when(whole, number(LAST_WORDS)).otherwise(number(LAST_WORDS_INSIDE))
 
 
 def _digits(value: Column) -> Column:
@@ -117,16 +126,26 @@ def _covered(kind: str):
 
 
 def _mentions(kind: str, pieces: Column, values: Column) -> Column:
-    """What stands at each match: its span, value and context. pieces are the texts between matches."""
+    """What stands at each match: its span, value and context. pieces are the texts between matches.
+
+    The context is read from the three pieces before a match and the two matches between them.
+    """
     pieces = F.slice(pieces, F.lit(1), F.size(values))
     lengths = F.zip_with(pieces, values, lambda p, v: (F.length(p) + F.length(v)).cast("long"))
-    parts = F.arrays_zip(pieces.alias("piece"), values.alias("value"), _offsets(lengths).alias("at"))
+    joined = F.zip_with(values, pieces, lambda v, p: F.concat(p, v))
+
+    def lead(i: Column) -> Column:
+        earlier = F.array_join(F.slice(joined, F.greatest(i - 1, F.lit(1)), F.least(i, F.lit(2))), "")
+        return F.struct(F.concat(earlier, F.get(pieces, i)).alias("before"), (i <= 2).alias("whole"))
+
+    leads = F.transform(F.sequence(F.lit(0), F.size(values) - 1), lead)
+    parts = F.arrays_zip(pieces.alias("piece"), values.alias("value"), _offsets(lengths).alias("at"), leads.alias("lead"))
 
     def mention(x: Column) -> Column:
         start = x["at"] + F.length(x["piece"])
         return F.struct(
             F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(x["value"])).alias("end"),
-            x["value"].alias("value"), context_words(x["piece"]).alias("context"),
+            x["value"].alias("value"), context_words(x["lead"]["before"], x["lead"]["whole"]).alias("context"),
         )
 
     return F.when(F.size(values) > 0, F.transform(parts, mention)).otherwise(F.array().cast(MENTION))
@@ -183,9 +202,9 @@ def _places(docs: DataFrame, contexts: DataFrame) -> DataFrame:
     texts = docs.where("text IS NOT NULL").select(words.alias("words")).where(F.size("words") > 1)
     n = F.size("words") - 1
     pairs = texts.select(F.inline(F.arrays_zip(F.slice("words", F.lit(1), n).alias("a"), F.slice("words", F.lit(2), n).alias("b"))))
-    # Counted before the join, which then sees each pair of words once.
+    # Counted before the join, which then sees each pair of words once. An inner join: a semi join would be moved below the count.
     counts = pairs.groupBy(F.xxhash64("a", "b").alias("context")).agg(F.count("*").alias("places"))
-    return counts.join(small_side(contexts.select("context"), 8), "context", "left_semi")
+    return counts.join(small_side(contexts.select("context"), 8), "context")
 
 
 def learn_patterns(found: DataFrame, docs: DataFrame, min_support: int = 5, min_confidence: float = 0.6, rounds: int = 3) -> DataFrame:
@@ -226,12 +245,13 @@ def learn_patterns(found: DataFrame, docs: DataFrame, min_support: int = 5, min_
     return kept.select("context", F.col("best.kind").alias("kind"), F.col("best.confidence").alias("confidence"))
 
 
-def find(docs: DataFrame, min_support: int = 5, min_confidence: float = 0.6, rounds: int = 3) -> DataFrame:
-    """The columns of documents but the text, with base and discovered: mentions (kind, start, end, value)."""
-    carried = [c for c in docs.columns if c != "text"]
-    found = mentions(docs.select(*carried, "text")).drop("text").withColumn("_row", F.monotonically_increasing_id())
+def find(docs: DataFrame, min_support: int = 5, min_confidence: float = 0.6, rounds: int = 3, with_text: bool = False) -> DataFrame:
+    """doc (a struct of the other columns), text if asked, base and discovered: mentions (kind, start, end, value)."""
+    rows = folded(docs)
+    found = mentions(rows).withColumn("_row", F.monotonically_increasing_id())
+    found = found if with_text else found.drop("text")
     found = stored(found)  # the row numbers are fixed from here on
-    patterns = learn_patterns(found, docs, min_support, min_confidence, rounds)
+    patterns = learn_patterns(found, rows, min_support, min_confidence, rounds)
     fresh = found.select("_row", F.explode("candidates").alias("m")).select("_row", "m", F.col("m.context").alias("context"))
     fresh = fresh.join(patterns.withColumnRenamed("kind", "_kind"), "context").select(
         "_row", F.struct(F.col("_kind").alias("kind"), "m.start", "m.end", "m.value").alias("m")
@@ -240,7 +260,8 @@ def find(docs: DataFrame, min_support: int = 5, min_confidence: float = 0.6, rou
     none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,value:string>>")
     out = found.join(fresh, "_row", "left")
     short = F.transform("base", lambda m: F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value")))
-    return out.select(*carried, short.alias("base"), F.coalesce("discovered", none).alias("discovered"))
+    texts = ["text"] if with_text else []
+    return out.select("doc", *texts, short.alias("base"), F.coalesce("discovered", none).alias("discovered"))
 
 
 def _joined(spans: Column) -> Column:
@@ -254,7 +275,7 @@ def report(found: DataFrame) -> DataFrame:
     """Counts of seeds by kind, their digest, and all spans."""
     count = lambda kind: F.size(F.filter("base", lambda m: m["kind"] == kind)).cast("long")
     return found.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("doc.doc_id").cast("long").alias("doc_id"),
         *(count(kind).alias(f"n_{kind}") for kind in KINDS),
         F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
         _joined(F.concat("base", "discovered")).alias("spans"),
@@ -263,17 +284,18 @@ def report(found: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, min_support: int = 5, min_confidence: float = 0.6, rounds: int = 3) -> DataFrame:
     """The documents with each mention replaced by its kind in brackets; mentions that overlap become one."""
-    found = find(docs.withColumn("_original", F.col("text")), min_support, min_confidence, rounds)
+    found = find(docs, min_support, min_confidence, rounds, with_text=True)
+    original = F.col("text")
     spans = F.array_sort(F.transform(F.concat("base", "discovered"), lambda m: F.struct(m["start"].alias("s"), m["end"].alias("e"), m["kind"].alias("k"))))
     empty = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).cast("long").alias("at"))
 
     def step(acc: Column, m: Column) -> Column:
-        gap = F.substring(F.col("_original"), acc["at"].cast("int") + 1, (m["s"] - acc["at"]).cast("int"))
+        gap = F.substring(original, acc["at"].cast("int") + 1, (m["s"] - acc["at"]).cast("int"))
         added = F.concat(acc["out"], F.array(gap, F.concat(F.lit("["), F.upper(m["k"]), F.lit("]"))))
         return F.struct(
             F.when(m["s"] >= acc["at"], added).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], m["e"]).alias("at")
         )
 
-    done = F.aggregate(spans, empty, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring("_original", acc["at"].cast("int") + 1, F.lit(2**31 - 1))))
-    text = F.when(F.size(spans) > 0, done).otherwise(F.col("_original"))
-    return found.withColumn("text", text).select(*docs.columns)
+    done = F.aggregate(spans, empty, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(original, acc["at"].cast("int") + 1, F.lit(2**31 - 1))))
+    text = F.when(F.size(spans) > 0, done).otherwise(original)
+    return unfolded(found.withColumn("text", text), docs)

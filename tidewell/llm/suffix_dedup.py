@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import discard, id_and_text, mixed, row_blocks, small_side, stored, text_buffers, written
+from tidewell.llm.common import discard, folded, id_and_text, mixed, row_blocks, small_side, stored, text_buffers, unfolded, written
 from tidewell.llm.words import MULTIPLIER, word_numbers
 
 PREFIX = 20
@@ -293,7 +293,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents without the later places of repeated passages; all rows and columns stay."""
     spans = stored(repeated_spans(docs, min_words).where(F.exists("spans", lambda s: ~s["kept"])))
-    keyed = docs.withColumn("_unit", _unit()).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    keyed = folded(docs).withColumn("_unit", _unit()).withColumn("_id", F.coalesce(F.col("doc.doc_id").cast("long"), F.lit(NO_ID)))
     spans = spans.select(F.col("unit").alias("_unit"), F.col("id").alias("_id"), F.col("spans").alias("_spans"))
-    joined = keyed.join(small_side(spans, 200), ["_unit", "_id"], "left").select(*docs.columns, "_spans")
-    return joined.mapInArrow(_cut, docs.schema)
+    joined = keyed.join(small_side(spans, 200), ["_unit", "_id"], "left").select("doc", "text", "_spans")
+    return unfolded(joined.mapInArrow(_cut, joined.drop("_spans").schema), docs)
