@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -134,8 +135,8 @@ def log_identity(user: Column, device: Column, field_device: Column) -> tuple[Co
     return F.when(present(user), user).otherwise(device), device
 
 
-def build_log_rows(df: DataFrame) -> DataFrame:
-    """Decoded log payloads (see log_payloads) as rows of `logs`.
+def build_log_rows(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Decoded log payloads (see log_payloads) as rows of `logs`; the columns in ``keep`` stay too.
 
     The ingest id is the id of the queue message, so a redelivery carries the same one.
     """
@@ -155,6 +156,7 @@ def build_log_rows(df: DataFrame) -> DataFrame:
         trimmed("span_id"),
         "message",
         F.coalesce("fields", F.lit("null")).alias("fields"),
+        *keep,
     )
 
 
@@ -179,8 +181,10 @@ def with_event_id(payload: Column, sent: Column, event_id: Column) -> Column:
     return F.when(sent.isNotNull(), F.to_json(payload)).otherwise(F.to_json(F.to_variant_object(merged)))
 
 
-def normalize_error_events(df: DataFrame, payload: str = "payload", missing_id: Column | None = None) -> DataFrame:
-    """Raw error events (VARIANT payload, project_id, received) as rows of `events`.
+def normalize_error_events(
+    df: DataFrame, payload: str = "payload", missing_id: Column | None = None, keep: Sequence[str] = ("client_ip",)
+) -> DataFrame:
+    """Raw error events (VARIANT payload, project_id, received) as rows of `events`; columns in ``keep`` stay, if there.
 
     `missing_id` gives the id of an event sent without one. The default is random; pass an id
     derived from the message to keep it stable when a task or a message is repeated.
@@ -190,7 +194,7 @@ def normalize_error_events(df: DataFrame, payload: str = "payload", missing_id:
         "message", "exception", "user", "tags", "contexts", "extra",
     ]
     part = {name: F.col(f"_p.{name}") for name in names}
-    kept = [c for c in ("client_ip",) if c in df.columns]
+    kept = [c for c in keep if c in df.columns]
     raw_id = text_of(part["event_id"])
     missing = F.expr("uuid()") if missing_id is None else missing_id
     read = read_once(df, _p=members(F.col(payload), *names)).select(

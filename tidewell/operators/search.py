@@ -158,10 +158,12 @@ def page(
     return log_hits(hits).orderBy(by(sort), by("id")).offset(offset).limit(size)
 
 
-def page_after(hits: DataFrame, ts: str | datetime, row_id: int | str, size: int | None = None) -> DataFrame:
+def page_after(
+    hits: DataFrame, ts: str | datetime, row_id: int | str, size: int | None = None, most: int | None = None
+) -> DataFrame:
     """The next newest-first page after the last row (ts, id) of the previous one."""
     older = (F.col("ts") < moment(ts)) | ((F.col("ts") == moment(ts)) & (F.col("id") < row_id))
-    return newest(log_hits(hits.filter(older)), size, SEARCH_PAGE)
+    return newest(log_hits(hits.filter(older)), size, SEARCH_PAGE, most)
 
 
 def facets(hits: DataFrame) -> DataFrame:
@@ -181,7 +183,12 @@ def highlight(hits: DataFrame, keywords: list[str]) -> DataFrame:
 
 
 def list_deliveries(
-    deliveries: DataFrame, status: str = "", channel: str = "", rule_id: int | None = None, limit: int | None = None
+    deliveries: DataFrame,
+    status: str = "",
+    channel: str = "",
+    rule_id: int | None = None,
+    limit: int | None = None,
+    most: int | None = None,
 ) -> DataFrame:
     rows = deliveries
     if status:
@@ -190,9 +197,9 @@ def list_deliveries(
         rows = rows.filter(F.col("channel_type") == channel)
     if rule_id:
         rows = rows.filter(F.col("rule_id") == rule_id)
-    return rows.orderBy(F.desc("id")).limit(row_limit(limit, DELIVERY_PAGE))
+    return rows.orderBy(F.desc("id")).limit(row_limit(limit, DELIVERY_PAGE, most))
 
 
-def list_monitor_runs(runs: DataFrame, monitor_id: int, limit: int | None = None) -> DataFrame:
+def list_monitor_runs(runs: DataFrame, monitor_id: int, limit: int | None = None, most: int | None = None) -> DataFrame:
     own = runs.filter(F.col("monitor_id") == monitor_id)
-    return own.orderBy(F.desc("id")).limit(row_limit(limit, RUN_PAGE))
+    return own.orderBy(F.desc("id")).limit(row_limit(limit, RUN_PAGE, most))

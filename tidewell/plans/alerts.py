@@ -485,4 +485,4 @@ def _(spark, sf):
       WHERE o_orderkey % 5 = 1 AND o_orderkey % 2 = 0 AND o_orderkey % 7 = 3 ORDER BY id DESC LIMIT 200""",
 )
 def _(spark, sf):
-    return search.list_deliveries(_deliveries(spark, sf), "sent", "email", 3, 500).select("id", "status")
+    return search.list_deliveries(_deliveries(spark, sf), "sent", "email", 3, 200, most=200).select("id", "status")
