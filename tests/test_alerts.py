@@ -98,12 +98,15 @@ def test_repeat_defaults():
     assert (low["base"], low["ceiling"]) == (90, 90)
 
 
+SECOND = 1_000_000
+
+
 def sends(spark, seconds, repeat, states=None):
     rows = logs(spark, *[("error", "boom", "{}", s) for s in seconds])
     hits = matched(spark, rows, {}, repeat)
     sessions = alert_state.alert_sessions(alert_state.ticks(hits), states)
     start = int(T0.replace(tzinfo=dt.timezone.utc).timestamp())
-    found = sorted(r["tick"] - start for r in alert_state.alert_decisions(sessions).collect())
+    found = sorted((r["tick"] - start * SECOND) / SECOND for r in alert_state.alert_decisions(sessions).collect())
     return found, sessions, hits
 
 
@@ -120,6 +123,32 @@ def test_window_expiry_resets_backoff(spark):
     assert sends(spark, [0, 60], {"windowSec": 60, "threshold": 1, "baseBackoffSec": 3600})[0] == [0]
 
 
+def test_times_are_compared_in_full(spark):
+    """Parts of a second decide: the window, the backoff, and which of several rows of a second sends."""
+    repeat = {"windowSec": 60, "threshold": 1, "baseBackoffSec": 3600}
+    assert sends(spark, [0.0, 60.9], repeat)[0] == [0, 60.9]
+    assert sends(spark, [0.9, 60.9], repeat)[0] == [0.9]
+    assert sends(spark, [0.9, 60.900001], repeat)[0] == [0.9, 60.900001]
+    repeat = {"windowSec": 60, "threshold": 1, "baseBackoffSec": 10}
+    assert sends(spark, [0.5, 10.4, 10.6, 10.7, 30.5, 30.599999, 30.6], repeat)[0] == [0.5, 10.6, 30.6]
+    repeat = {"windowSec": 60, "threshold": 3, "baseBackoffSec": 10}
+    found, sessions, hits = sends(spark, [5.1, 5.3, 5.3, 5.3, 5.7], repeat)
+    assert found == [5.3]
+    assert [r["row_id"] for r in alert_state.sending_rows(hits, alert_state.alert_decisions(sessions)).collect()] == ["2"]
+    state = alert_state.next_states(sessions).first()
+    assert (state["last_seen"].microsecond, state["last_sent"].microsecond, state["occurrences"]) == (700_000, 300_000, 5)
+
+
+def test_one_noisy_key_is_many_rows_of_bounded_size(spark):
+    """What meets by key has one row per second, and every second is counted on its own."""
+    rows = spark.range(20_000).selectExpr("1 AS rule_id", "'k' AS key_hash", "60L AS window", "1L AS threshold", "60L AS base", "3600L AS ceiling",
+                                          "timestamp_micros(1735689600000000 + id * 1000) AS ts")
+    counted = alert_state.ticks(rows)
+    assert counted.count() == 20 and counted.selectExpr("max(size(moments))").first()[0] == 1000
+    one = alert_state.alert_sessions(counted).orderBy(F.desc("second")).first()
+    assert (one["session"], one["occ"], one["last"] - one["first"]) == (1, 20_000, 999_000)
+
+
 def test_backoff_sequence(spark):
     repeat = {"threshold": 2, "windowSec": 60, "baseBackoffSec": 30, "maxBackoffSec": 60}
     assert sends(spark, [0, 10, 20, 70, 200, 210], repeat)[0] == [10, 70, 210]
@@ -144,17 +173,17 @@ def brute(seconds, window, threshold, base, ceiling):
 @pytest.mark.parametrize("seed", range(4))
 def test_batch_and_stream_equal_brute_force(spark, seed):
     rng = random.Random(seed)
-    seconds = sorted(rng.randrange(4000) for _ in range(250))
+    times = sorted(rng.choice([rng.randrange(4000) * SECOND, rng.randrange(4000 * SECOND)]) for _ in range(250))
     window, threshold, base, ceiling = rng.choice([20, 60]), rng.randrange(1, 4), rng.choice([5, 40]), rng.choice([40, 300])
-    expected = brute(seconds, window, threshold, base, ceiling)
+    expected = brute(times, window * SECOND, threshold, base * SECOND, ceiling * SECOND)
     repeat = {"windowSec": window, "threshold": threshold, "baseBackoffSec": base, "maxBackoffSec": ceiling}
-    assert sends(spark, seconds, repeat)[0] == expected
+    assert [round(t * SECOND) for t in sends(spark, [t / SECOND for t in times], repeat)[0]] == expected
     counts = {}
-    for s in seconds:
+    for s in times:
         counts[s + 1] = counts.get(s + 1, 0) + 1
     state, streamed = (0, 0, 0, 0), []
-    for low in range(0, 4001, 500):
-        part = {s: n for s, n in counts.items() if low < s <= low + 500}
+    for low in range(0, 4001 * SECOND, 500 * SECOND):
+        part = {s: n for s, n in counts.items() if low < s <= low + 500 * SECOND}
         state, sent = decide(part, (window, threshold, base, ceiling), state)
         streamed += [t - 1 for t, _, _ in sent]
     assert streamed == expected
@@ -170,9 +199,9 @@ def test_stored_state_continues_a_session(spark):
 
 
 def test_late_rows_do_not_end_a_session():
-    state, sent = decide({100: 1}, (60, 1, 3600, 3600), (0, 0, 0, 0))
-    state, sent = decide({10: 1}, (60, 1, 3600, 3600), state)
-    assert sent == [] and state[0] == 2 and state[2] == 100
+    state, sent = decide({100 * SECOND: 1}, (60, 1, 3600, 3600), (0, 0, 0, 0))
+    state, sent = decide({10 * SECOND: 1}, (60, 1, 3600, 3600), state)
+    assert sent == [] and state[0] == 2 and state[2] == 100 * SECOND
 
 
 def test_preview_reports_why_nothing_is_sent(spark):
@@ -242,5 +271,5 @@ def test_state_is_kept_for_long_windows():
     from tidewell.streaming import alert_stream
 
     assert alert_stream.idle_ms(30 * 86_400, 100, 0) == 30 * 86_400_000 + alert_stream.IDLE_MS
-    assert alert_stream.idle_ms(60, 100, 1_000_000) == 999_900_000 + alert_stream.IDLE_MS
+    assert alert_stream.idle_ms(60, 100 * SECOND, 1_000_000 * SECOND) == 999_900_000 + alert_stream.IDLE_MS
     assert alert_stream.idle_ms(60, 100, 0) == 60_000 + alert_stream.IDLE_MS

@@ -97,7 +97,7 @@ MATCHED = f"""{INPUTS}, hits AS (
       SELECT *, sha256('rule=' || rule_id || '|src=' || source || '|lvl=' || level ||
           CASE WHEN rule_id <> 3 THEN '|msg=' || message ELSE '' END ||
           CASE WHEN rule_id = 1 THEN '|f.distinct_id=' || user_id ELSE '' END) AS key_hash,
-        CAST(epoch(ts) AS BIGINT) AS rounded, epoch_us(ts) // 1000000 AS tick FROM hits)"""
+        epoch_us(ts) AS tick FROM hits)"""
 
 
 def _matched(spark, sf):
@@ -196,7 +196,7 @@ def _(spark, sf):
 SESSIONS = f"""{MATCHED}, ticks AS (
       SELECT rule_id, key_hash, tick, COUNT(*) AS n FROM matched GROUP BY ALL),
     starts AS (
-      SELECT *, CASE WHEN coalesce(tick - lag(tick) OVER (PARTITION BY rule_id, key_hash ORDER BY tick) > {WINDOWS}, TRUE)
+      SELECT *, CASE WHEN coalesce(tick - lag(tick) OVER (PARTITION BY rule_id, key_hash ORDER BY tick) > 1000000::BIGINT * {WINDOWS}, TRUE)
         THEN 1 ELSE 0 END AS s FROM ticks),
     numbered AS (SELECT *, SUM(s) OVER (PARTITION BY rule_id, key_hash ORDER BY tick) AS session FROM starts),
     sessions AS (
@@ -214,7 +214,7 @@ def _sessions(spark, sf):
         occ >= {THRESHOLDS} AS fires FROM sessions""",
 )
 def _(spark, sf):
-    return _sessions(spark, sf).select(
+    return alert_state.by_moment(_sessions(spark, sf)).select(
         "rule_id", "key_hash", "tick", "n", "session", "occ", "occ_before", (F.col("occ") >= F.col("threshold")).alias("fires")
     )
 
@@ -226,7 +226,7 @@ DECISIONS = f"""{SESSIONS}, due AS (SELECT * FROM sessions WHERE occ >= {THRESHO
       SELECT s.rule_id, s.key_hash, s.session, MIN(d.tick), s.exp + 1
       FROM sends s JOIN (SELECT rule_id AS r, key_hash AS h, session AS ss, tick FROM due) d
         ON d.r = s.rule_id AND d.h = s.key_hash AND d.ss = s.session
-        AND d.tick >= s.tick + least({BASES} * pow(2, s.exp), {CEILINGS})
+        AND d.tick >= s.tick + 1000000::BIGINT * least({BASES} * pow(2, s.exp), {CEILINGS})
       GROUP BY s.rule_id, s.key_hash, s.session, s.exp)"""
 
 
@@ -252,7 +252,7 @@ def _(spark, sf):
     states = alert_state.next_states(_sessions(spark, sf))
     return states.select(
         "rule_id", "key_hash", "occurrences", "backoff_exp",
-        F.unix_seconds("last_seen").alias("last_seen"), F.unix_seconds("last_sent").alias("last_sent"),
+        F.unix_micros("last_seen").alias("last_seen"), F.unix_micros("last_sent").alias("last_sent"),
     )
 
 
@@ -375,12 +375,12 @@ PREVIEW = f"""{DECISIONS.replace('FROM matched GROUP BY', f"FROM matched WHERE t
         QUALIFY row_number() OVER (PARTITION BY rule_id, key_hash ORDER BY session DESC) = 1),
       states AS (
         SELECT l.rule_id, l.key_hash, l.occ, l.seen, COUNT(s.tick) AS exp,
-          MAX(s.tick + CAST(least({BASES.replace('rule_id', 'l.rule_id')} * pow(2, s.exp), {CEILINGS.replace('rule_id', 'l.rule_id')}) AS BIGINT)) AS next
+          MAX(s.tick + 1000000::BIGINT * CAST(least({BASES.replace('rule_id', 'l.rule_id')} * pow(2, s.exp), {CEILINGS.replace('rule_id', 'l.rule_id')}) AS BIGINT)) AS next
         FROM lasts l LEFT JOIN sends s ON s.rule_id = l.rule_id AND s.key_hash = l.key_hash AND s.session = l.session GROUP BY ALL),
-      now_at AS (SELECT epoch_us(TIMESTAMP '{NOW}') // 1000000 AS now_s),
+      now_at AS (SELECT epoch_us(TIMESTAMP '{NOW}') AS now_s),
       joined AS (
         SELECT m.rule_id, m.source, m.row_id, coalesce(s.occ, 0) AS occ_before,
-          coalesce(now_s - s.seen > {WINDOWS.replace('rule_id', 'm.rule_id')}, FALSE) AS expired, s.exp, s.next, now_s,
+          coalesce(now_s - s.seen > 1000000::BIGINT * {WINDOWS.replace('rule_id', 'm.rule_id')}, FALSE) AS expired, s.exp, s.next, now_s,
           {THRESHOLDS.replace('rule_id', 'm.rule_id')} AS threshold
         FROM matched m CROSS JOIN now_at LEFT JOIN states s ON s.rule_id = m.rule_id AND s.key_hash = m.key_hash),
       judged AS (
@@ -472,7 +472,7 @@ def _(spark, sf):
 @query(
     "purge_alert_states",
     f"""WITH {SESSIONS}, seen AS (SELECT rule_id, key_hash, MAX(tick) AS t FROM sessions GROUP BY ALL)
-      SELECT CAST(rule_id AS INTEGER) AS rule_id, key_hash FROM seen WHERE t >= epoch_us(TIMESTAMP '2024-01-29 06:00:00') // 1000000""",
+      SELECT CAST(rule_id AS INTEGER) AS rule_id, key_hash FROM seen WHERE t >= epoch_us(TIMESTAMP '2024-01-29 06:00:00')""",
 )
 def _(spark, sf):
     states = alert_state.next_states(_sessions(spark, sf))
