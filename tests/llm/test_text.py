@@ -49,6 +49,21 @@ def test_ngram_join(spark, size, percent):
     assert rows(found, "doc_id", "n_shingles", "component_id") == brute.components(docs, size, percent)
 
 
+def test_pairs_of_groups_are_proposed_once_and_whole(spark, monkeypatch):
+    """Every pair with a common key and different components, from one group only where the common keys are early; tiles too."""
+    rng = random.Random(8)
+    rows = [(key, c, c // 3) for c in range(60) for key in rng.sample(range(100), 12)] + [(500, c, c // 3) for c in range(60)]
+    held = defaultdict(set)
+    for key, c, _ in rows:
+        held[key].add(c)
+    want = {(a, b) for cs in held.values() for a in cs for b in cs if a < b and a // 3 != b // 3}
+    frame = spark.createDataFrame(rows, "key long, class long, component long").repartition(4)
+    for tile in (400, 7):
+        monkeypatch.setattr(ngram_join, "TILE", tile)
+        found = [tuple(x) for x in ngram_join.group_pairs(frame).collect()]
+        assert len(found) == len(set(found)) and set(found) == want
+
+
 def test_ngram_join_of_documents(spark, documents, sf_dir):
     found = queries.op5_ngram_jaccard(spark, sf_dir)
     docs = [tuple(x) for x in documents.select("doc_id", "text").collect()]

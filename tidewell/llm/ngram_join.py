@@ -18,7 +18,10 @@ Sets that share a signature are candidates, and then:
 2. in each group of one signature, all are compared with a hub only: the member with the most shared signatures that
    was no hub yet. Links join classes to components, and groups inside one component are finished. This is done
    HUB_ROUNDS times, whatever the size;
-3. what is left are members of one group in different components; these pairs are compared once each.
+3. what is left are members of one group in different components; these pairs are compared once each. Alike sets
+   share many signatures, so a pair is proposed by the smallest one only: members carry their EARLY smallest signatures,
+   and a group leaves out pairs that share one of these below its own. Groups of more than TILE members are cut into
+   tiles that meet in pairs.
 
 Comparisons are exact on 64-bit hashes of shingles. Copies are never paired, and groups are never collected: hubs are
 maxima, combined before the shuffle, and sets travel once per hub.
@@ -45,7 +48,10 @@ BLOCK_BYTES = 1_000_000
 SPARE_PARTS = 2  # parts beyond k + 1, and one more for each SPARE_SHARE, so that few sets have too many empty ones
 SPARE_SHARE = 24
 SCHEMES = 6
+SHORT = np.uint64(2**32 - 1)  # the part of an element by which holders are counted
 HUB_ROUNDS = 3
+EARLY = 16  # signatures that members of a group carry, to tell whether a smaller group has proposed a pair
+TILE = 400  # members of one signature that meet others in one task
 
 SETS = "doc_id long, _row long, n_shingles long, class long, signatures array<bigint>"
 
@@ -170,11 +176,64 @@ def _shared_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _elements(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Sets of classes, and how many elements agree with another one of their set in their short key."""
     for batch in batches:
         sets = list(shingle_sets(batch.column(1), size))
         right = pa.array([set_number(s) == c for s, c in zip(sets, batch.column(0).to_pylist(), strict=True)], pa.bool_())
         lists = pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(right), lists.filter(right)], ["class", "elements"])
+        hidden = pa.array([len(s) - len(np.unique(s & SHORT)) for s in sets], pa.int64())
+        yield pa.RecordBatch.from_arrays([x.filter(right) for x in (batch.column(0), lists, hidden)], ["class", "elements", "hidden"])
+
+
+def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (u, v) of each tile (key, crossing, members) in different components, unless a smaller early key has them."""
+    for batch in batches:
+        out = []
+        keys, crossings = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+        lists = batch.column(2)
+        begins, sizes = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py(), np.diff(lists.offsets.to_numpy())
+        flat = lists.flatten()
+        classes, components_, second = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
+        early = flat.field(3)
+        early_begins, early_sizes, early_keys = early.offsets.to_numpy()[:-1] - early.offsets[0].as_py(), np.diff(early.offsets.to_numpy()), early.flatten().to_numpy()
+        for key, crossing, a, n in zip(keys.tolist(), crossings.tolist(), begins.tolist(), sizes.tolist(), strict=True):
+            own = slice(a, a + n)
+            u, c = classes[own], components_[own]
+            wanted = (u[:, None] < u[None, :]) & (c[:, None] != c[None, :])
+            if crossing:
+                wanted |= wanted.T
+                wanted &= ~second[own][:, None] & second[own][None, :]
+            if not wanted.any():
+                continue
+            owner = np.repeat(np.arange(n), early_sizes[own])
+            smaller = early_keys[early_begins[a] : early_begins[a] + len(owner)]
+            below = smaller < key
+            found, column, times = np.unique(smaller[below], return_inverse=True, return_counts=True)
+            again = times > 1
+            if again.any():
+                place = np.cumsum(again) - 1
+                has = np.zeros((n, int(again.sum())), np.float32)
+                kept = again[column]
+                has[owner[below][kept], place[column[kept]]] = 1
+                wanted &= has @ has.T == 0
+            i, j = np.nonzero(wanted)
+            out.append(np.stack([np.minimum(u[i], u[j]), np.maximum(u[i], u[j])]))
+        pairs = np.concatenate(out, 1) if out else np.zeros((2, 0), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["u", "v"])
+
+
+def group_pairs(state: DataFrame) -> DataFrame:
+    """u, v: pairs of classes with a common key and different components, out of rows (key, class, component)."""
+    early = state.groupBy("class").agg(F.slice(F.sort_array(F.collect_list("key")), F.lit(1), F.lit(EARLY)).alias("early"))  # signatures of one set
+    sizes = state.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).where("tiles > 1")
+    rows = state.select("key", "class", "component").join(early, "class").join(sizes, "key", "left")
+    rows = rows.withColumn("tiles", F.coalesce("tiles", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("class"), F.col("tiles")).cast("int"))
+    # A tile meets itself and each other one: as the first of a pair if its number is smaller.
+    others = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, F.col("own")).alias("a"), F.greatest(t, F.col("own")).alias("b")))
+    met = rows.withColumn("t", F.explode(others))
+    member = F.struct("class", "component", (F.col("own") == F.col("t.b")).alias("second"), "early")
+    tiles = met.groupBy("key", "t.a", "t.b").agg(F.collect_list(member).alias("members"))  # two tiles at most
+    return tiles.where(F.size("members") > 1).select("key", (F.col("a") != F.col("b")).alias("crossing"), "members").mapInArrow(_propose, "u long, v long")
 
 
 def _by_key(rows: DataFrame) -> DataFrame:
@@ -208,13 +267,14 @@ def class_links(signed: DataFrame, docs: DataFrame, size: int, percent: int) ->
     members = groups.select("class").distinct()
     one = signed.groupBy("class").agg(F.min("_row").alias("_row")).join(members, "class")
     texts = docs.join(one, "_row").select("class", "text")
-    sets = texts.mapInArrow(partial(_elements, size=size), "class long, elements array<bigint>")
+    sets = texts.mapInArrow(partial(_elements, size=size), "class long, elements array<bigint>, hidden long")
     sets, sets_place = written(sets.dropDuplicates(["class"]), "candidate-sets")  # a repeated row is there more than once
 
-    # 1. Elements that nobody else has. Short keys can only make more elements look shared.
-    spread = sets.select(F.explode("elements").alias("e"), "class").select((F.col("e") % 2**32).alias("key"), "class")
+    # 1. Elements that nobody else has. Two elements with one short key are counted once, so those of one set are added.
+    spread = sets.select(F.explode("elements").alias("e"), "class").select(F.col("e").bitwiseAND(F.lit(int(SHORT))).alias("key"), "class")
     shared = _by_key(spread).mapInArrow(_shared_runs, "key long, class long").groupBy("class").agg(F.count("*").alias("shared"))
-    alive = sets.select("class", F.size("elements").alias("n")).join(shared, "class").where(100 * F.col("shared") >= percent * F.col("n"))
+    alive = sets.select("class", "hidden", F.size("elements").alias("n")).join(shared, "class")
+    alive = alive.where(100 * (F.col("shared") + F.col("hidden")) >= percent * F.col("n"))
     alive = tight(stored(alive.select("class")))
     sets = sets.join(alive, "class", "left_semi")
     groups = groups.join(alive, "class", "left_semi")
@@ -240,8 +300,7 @@ def class_links(signed: DataFrame, docs: DataFrame, size: int, percent: int) ->
             pairs = pairs.select(F.least("class", "h.class").alias("u"), F.greatest("class", "h.class").alias("v"))
             used = tight(stored(used.unionByName(hubs.select("h.class")).distinct()))
         else:
-            other = state.select("key", F.col("class").alias("v"), F.col("component").alias("other"))
-            pairs = state.join(other, "key").where("class < v AND component <> other").select(F.col("class").alias("u"), "v")
+            pairs = group_pairs(state)
         pairs = tight(stored(pairs.distinct().join(done, ["u", "v"], "left_anti")))
         judged = tight(stored(compared(pairs, sets, percent)))
         done = done.unionByName(judged.select("u", "v"))
