@@ -1,6 +1,7 @@
 """Payloads, identity, envelopes, dedupe: literals in, literals out."""
 
 import datetime as dt
+import itertools
 import json
 import uuid
 
@@ -40,38 +41,53 @@ def test_decode_batch(spark):
     }
 
 
-def test_user_id(spark):
-    df = docs(
-        spark, {"user": {"id": "  u1  "}}, {"user": {"id": " ", "username": "alice"}}, {"user": {"email": "a@b"}},
-        {"user": "x"}, {"user": {"id": 7}}, {},
-    )
-    assert values(df, identity.user_id(part("user"))) == ["u1", "alice", "a@b", "", "", ""]
-    assert values(df, identity.stored_user_id(part("user"))) == ["  u1  ", " ", "a@b", "", "", ""]
+GONE = object()
 
 
-def test_device_id(spark):
-    df = docs(
-        spark,
-        {"tags": {"device_id": " d1 "}, "contexts": {"device": {"id": "d2"}}},
-        {"tags": [["a", "b"], ["device_id", 123]]},
-        {"tags": [["device_id"]], "contexts": {"device": {"id": " d2 "}}},
-        {"tags": {"device_id": 5}, "extra": {"device_id": "d3"}},
-        {},
-    )
+def filled(**parts):
+    return {k: v for k, v in parts.items() if v is not GONE}
+
+
+def test_user_id_is_the_first_filled_name(spark):
+    """Every way to leave out, blank or fill the three names, against the rule written in Python."""
+    users = [
+        filled(id=i, username=n, email=m)
+        for i, n, m in itertools.product([GONE, "\t ", " 4711 "], [GONE, "", "mia "], [GONE, " ", " mia@site.example"])
+    ]
+    others = [["mia"], "mia", 12, None, {"id": 4711, "email": "n@site.example"}, {"id": {"x": 1}}]
+    want = [next((u[k].strip() for k in ("id", "username", "email") if u.get(k, "").strip()), "") for u in users]
+    df = docs(spark, *({"user": u} for u in [*users, *others]), {"usr": {"id": "x"}})
+    assert values(df, identity.user_id(part("user"))) == [*want, "", "", "", "", "n@site.example", "", ""]
+    stored = [next((u[k] for k in ("id", "username", "email") if k in u and u[k] != ""), "") for u in users]
+    assert values(df, identity.stored_user_id(part("user")))[: len(users)] == stored
+
+
+def test_device_id_is_the_first_filled_place(spark):
+    """Tags before the device context before the extras; tags may be a map of texts or a list of pairs of any value."""
+    maps = [(GONE, None), ({"device_id": "  "}, None), ({"device_id": 88}, None), ({"device_id": " tablet-9"}, "tablet-9"), ({"os": "x"}, None)]
+    pairs = [([["colour", "red"]], None), ([["colour", "red"], ["device_id", 4.5]], "4.5"), ([["device_id"], [], "device_id"], None)]
+    contexts = [(GONE, None), ({"device": {"id": " phone-3\n"}}, "phone-3"), ({"device": "phone"}, None)]
+    extras = [(GONE, None), ({"device_id": "kiosk-1 "}, "kiosk-1"), ([], None)]
+    payloads, want = [], []
+    for (tags, one), (context, two), (extra, three) in itertools.product(maps + pairs, contexts, extras):
+        payloads.append(filled(tags=tags, contexts=context, extra=extra))
+        want.append(one or two or three or "")
     device = identity.device_id(part("tags"), part("contexts"), part("extra"))
-    assert values(df, device) == ["d1", "123", "d2", "d3", ""]
+    assert values(docs(spark, *payloads), device) == want
 
 
-def test_os_and_browser(spark):
-    df = docs(
-        spark,
-        {"contexts": {"os": {"name": "iOS", "version": "17"}, "browser": {"name": "Chrome", "version": "120"}}},
-        {"contexts": {"os": {"name": " Android "}}},
-        {"contexts": {"os": {"version": "1"}}},
-        {"contexts": []},
-    )
-    assert values(df, identity.named_version(part("contexts"), "os")) == ["iOS 17", "Android", "", ""]
-    assert values(df, identity.named_version(part("contexts"), "browser")) == ["Chrome 120", "", "", ""]
+@pytest.mark.parametrize("what", ["os", "browser"])
+def test_named_version(spark, what):
+    names, versions = [GONE, "  ", " Plan 9 ", 3], [GONE, "", " 4.2", 7]
+    contexts = [{what: filled(name=n, version=v)} for n, v in itertools.product(names, versions)]
+
+    def expected(c):
+        name, version = (x.strip() if isinstance(x, str) else "" for x in (c.get("name"), c.get("version")))
+        return f"{name} {version}".strip() if name else ""
+
+    want = [expected(c[what]) for c in contexts]
+    df = docs(spark, *({"contexts": c} for c in contexts), {"contexts": [what]}, {"contexts": {what: "Plan 9"}}, {})
+    assert values(df, identity.named_version(part("contexts"), what)) == [*want, "", "", ""]
 
 
 def test_timestamps(spark):
@@ -135,46 +151,65 @@ def test_log_identity(spark):
     assert found == {"a": ("u1", "d1"), "b": ("d1", "d1"), "c": ("d2", "d2"), "d": ("u1", ""), "e": ("", "")}
 
 
-HEAD = '{"event_id":"e1"}\n'
-
-
-@pytest.mark.parametrize(
-    "text, items, event, error",
-    [
-        (HEAD + '{"type":"event"}\n{"event_id":"e1","message":"boom"}', 1, "boom", None),
-        (HEAD + '{"type":"event","length":16}\n{"message":"é"}\n\n{"type":"x"}\n{}\n', 2, "é", None),
-        (HEAD + '{"type":"event","length":16}\n{"message":"a\n"}', 1, None, None),
-        (HEAD + '{"type":"attachment"}\nabc\n{"type":"event"}\n{bad', 2, None, None),
-        (HEAD + '{"type":"event"}\n[1]\n{"type":"event"}\n{"message":"second"}', 2, "second", None),
-        (HEAD + '{"type":"event","length":"bad"}\n{}', 0, None, envelope.BAD_LENGTH),
-        (HEAD + '{"type":"event","length":-1}\n{}', 0, None, envelope.BAD_LENGTH),
-        (HEAD + '{"type":"event","length":10}\n{}', 0, None, envelope.SHORT_BODY),
-        (" \n{}", 0, None, envelope.EMPTY_HEADER),
-        (HEAD, 0, None, envelope.NO_ITEMS),
-        ("{bad\n", 0, None, envelope.BAD_HEADER),
-    ],
-)
-def test_envelope(text, items, event, error):
+def sealed(*items, head='{"event_id":"parcel-77"}', end="\n"):
+    """An envelope: items are (header fields, payload); a length of True is filled in, in bytes."""
+    lines = [head]
+    for header, payload in items:
+        size = {"length": len(payload.encode())} if header.get("length") is True else {}
+        lines += [json.dumps({**header, **size}), payload]
+    return "\n".join(lines) + end
+
+
+NOTE = '{"message":"Grüße\\naus Köln"}'
+SPREAD = '{\n  "message": "over lines"\n}'
+ENVELOPES = {
+    "one event on a line": (sealed(({"type": "event"}, NOTE)), 1, "Grüße\naus Köln"),
+    "no line end at the end": (sealed(({"type": "event"}, NOTE), end=""), 1, "Grüße\naus Köln"),
+    "length counts bytes": (sealed(({"type": "event", "length": True}, NOTE), ({"type": "log"}, "x")), 2, "Grüße\naus Köln"),
+    "length spans lines": (sealed(({"type": "event", "length": True}, SPREAD)), 1, "over lines"),
+    "event behind others": (sealed(({"type": "client_report"}, "17"), ({"type": "event"}, NOTE)), 2, "Grüße\naus Köln"),
+    "first event that is an object": (sealed(({"type": "event"}, "17"), ({"type": "event"}, '{"message":"z"}')), 2, "z"),
+    "no event at all": (sealed(({"type": "session"}, '{"sid":1}')), 1, None),
+}
+BROKEN = {
+    "length is a word": (sealed(({"type": "event", "length": "ten"}, NOTE)), envelope.BAD_LENGTH),
+    "length is negative": (sealed(({"type": "event", "length": -8}, NOTE)), envelope.BAD_LENGTH),
+    "body ends early": (sealed(({"type": "event", "length": 900}, NOTE)), envelope.SHORT_BODY),
+    "blank header line": (sealed(({"type": "event"}, NOTE), head="  "), envelope.EMPTY_HEADER),
+    "header only": (sealed(), envelope.NO_ITEMS),
+    "header is no JSON": (sealed(({"type": "event"}, NOTE), head="event_id=parcel-77"), envelope.BAD_HEADER),
+}
+
+
+@pytest.mark.parametrize("name", ENVELOPES)
+def test_envelope(name):
+    text, items, message = ENVELOPES[name]
     found = envelope.read_envelope(text)
-    assert found["error"] == error
-    assert error or found["items"] == items
-    assert (found["event"] and json.loads(found["event"]).get("message")) == event
+    assert found["error"] is None and found["items"] == items
+    assert (found["event"] and json.loads(found["event"]).get("message")) == message
+
+
+@pytest.mark.parametrize("name", BROKEN)
+def test_broken_envelope(name):
+    text, error = BROKEN[name]
+    assert envelope.read_envelope(text)["error"] == error
 
 
 def test_envelope_without_event_is_kept_whole(spark):
-    text = '{}\n{"type":"attachment"}\nabc'
-    df = spark.createDataFrame([(text,)], "body string")
-    row = envelope.envelope_messages(envelope.parse_envelopes(df).rows).first()
+    text = ENVELOPES["no event at all"][0].replace("parcel-77", "").replace('"event_id":""', "")
+    row = envelope.envelope_messages(envelope.parse_envelopes(spark.createDataFrame([(text,)], "body string")).rows).first()
     payload = json.loads(row["payload"])
-    assert row["type"] == "envelope"
-    assert payload["raw"] == text
-    assert payload["event_id"] == str(uuid.uuid5(uuid.UUID(int=0), text))
+    assert (row["type"], payload["raw"], payload["event_id"]) == ("envelope", text, str(uuid.uuid5(uuid.UUID(int=0), text)))
 
 
 def test_envelope_event_takes_the_envelope_id(spark):
-    bodies = [(HEAD + '{"type":"event"}\n{}',), (HEAD + '{"type":"event"}\n{ "event_id":"own","a":1}',), ('{"event_id":"q\\"1"}\n{"type":"event"}\n{"a":1}',)]
-    rows = envelope.envelope_messages(envelope.parse_envelopes(spark.createDataFrame(bodies, "body string")).rows)
-    assert [json.loads(r["payload"])["event_id"] for r in rows.collect()] == ["e1", "own", 'q"1']
+    bodies = [
+        sealed(({"type": "event"}, "{}")),
+        sealed(({"type": "event"}, '{"event_id":"letter-5","n":1}')),
+        sealed(({"type": "event"}, '{"n":1}'), head='{"event_id":"say \\"hi\\""}'),
+    ]
+    rows = envelope.envelope_messages(envelope.parse_envelopes(spark.createDataFrame([(b,) for b in bodies], "body string")).rows)
+    assert [json.loads(r["payload"])["event_id"] for r in rows.collect()] == ["parcel-77", "letter-5", 'say "hi"']
 
 
 def test_first_write_wins(spark):
