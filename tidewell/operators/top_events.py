@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from datetime import datetime, time, timedelta
 
 from pyspark.sql import DataFrame
@@ -85,15 +86,20 @@ def top_events_hybrid(
     middle = _daily_users(
         daily, f"{second_day:%Y-%m-%d}", f"{last_day - timedelta(days=1):%Y-%m-%d}"
     )
-    merged = (
-        left.unionByName(right)
-        .unionByName(middle)
-        .groupBy("name", "distinct_id")
-        .agg(F.sum("events").alias("events"))
-    )
+    return _merged_top([left, right, middle], limit, q)
+
+
+def _merged_top(parts: list[DataFrame], limit: int | None, q: str) -> DataFrame:
+    merged = reduce(DataFrame.unionByName, parts).groupBy("name", "distinct_id").agg(F.sum("events").alias("events"))
     return _ranked(merged, limit, q)
 
 
+def combined_top(track: DataFrame, daily: DataFrame, limit: int | None = None, q: str = "") -> DataFrame:
+    """Over some raw rows and some days of the rollup that do not overlap."""
+    days = daily.groupBy("name", "distinct_id").agg(F.sum("events").alias("events"))
+    return _merged_top([_per_user(track), days], limit, q)
+
+
 def logs_as_track(logs: DataFrame) -> DataFrame:
     """Log rows of level `event` with a user, in the columns of track events."""
     return logs.filter((F.col("level") == "event") & present(F.col("distinct_id"))).select(

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import date, timedelta
 
 from pyspark.sql import functions as F
 
 from tidewell.functions.times import bucket_key, day_key
-from tidewell.operators import active, custom, definitions, distribution, funnel, growth, retention
+from tidewell.operators import active, addresses, custom, definitions, distribution, funnel, growth, retention
 from tidewell.operators import rollup, top_events
 from tidewell.plans.model_sql import GEO, day, errors, logs, micros, track
 from tidewell.plans.registry import query
-from tidewell.sources import tables
+from tidewell.session import run_dir
+from tidewell.sources import facts, stored_rollup, tables
 
 # The ranges the queries ask for.
 START, END = "2024-01-05 06:00:00", "2024-01-20 18:30:00"
@@ -59,6 +60,23 @@ def _(spark, sf):
     return top_events.top_events_auto(no_rollup, track_rows, tables.track_logs(spark, sf), START, END)
 
 
+@query("top_events_auto_rollup", _top_sql(track(), IN_DAYS))
+def _(spark, sf):
+    """The first source has rows, so it answers."""
+    track_rows = tables.track_events(spark, sf)
+    return top_events.top_events_auto(rollup.daily_rollup(track_rows), track_rows, tables.track_logs(spark, sf), START, END)
+
+
+@query("top_events_stored", _top_sql(track(3), f"project_id = 2 AND {IN_RANGE}"))
+def _(spark, sf):
+    """Stored facts and a rollup that covers all days but two: raw folders are read for these and the edge days only."""
+    path = run_dir(spark, "stored-top")
+    facts.write_facts(tables.track_events(spark, sf, 3), f"{path}/track_events")
+    for first, last in (("2024-01-01", "2024-01-09"), ("2024-01-12", "2024-01-31")):
+        stored_rollup.refresh_rollup(spark, f"{path}/track_events", f"{path}/daily", 2, date.fromisoformat(first), date.fromisoformat(last))
+    return stored_rollup.top_events_stored(spark, f"{path}/track_events", f"{path}/daily", 2, START, END)
+
+
 @query("top_events_search", _top_sql(track(), f"name ILIKE '%CH%' AND {IN_RANGE}"))
 def _(spark, sf):
     return top_events.top_events(tables.track_events(spark, sf), START, END, q="CH")
@@ -146,6 +164,13 @@ def _(spark, sf):
     return funnel.funnel(rows, STEPS, START, END, DAY)
 
 
+@query("funnel_source_track", _funnel_sql(STEPS, track(), "name", "24 hours"))
+def _(spark, sf):
+    """The first source has the steps, so it answers."""
+    rows, _ = funnel.funnel_source(tables.track_events(spark, sf), tables.track_logs(spark, sf), STEPS, START, END)
+    return funnel.funnel(rows, STEPS, START, END, DAY)
+
+
 @query("funnel_guard", _funnel_sql(STEPS, track(), "name", "24 hours"))
 def _(spark, sf):
     longest = timedelta(days=31)
@@ -301,6 +326,44 @@ def _(spark, sf):
     return _enriched(spark, sf).select("id", "country", "region", "city", "asn_org")
 
 
+ADDRESSES = """addresses AS (
+      SELECT event_id AS id, CASE user_id % 4 WHEN 0 THEN '' WHEN 3 THEN 'v4' ELSE 'v6' END AS kind, user_id % 97 AS a, user_id % 200 AS b FROM events)"""
+
+
+@query(
+    "locate_addresses",
+    f"""WITH {ADDRESSES}, named AS (SELECT CAST(n_nationkey AS BIGINT) AS k, n_name AS city FROM nation)
+      SELECT x.id, CASE WHEN kind = 'v4' AND b < 25 THEN 'v4 ' || n.city WHEN kind = 'v6' AND a >= 25 THEN 'rest'
+          WHEN kind = 'v6' AND b % 2 = 1 THEN 'odd ' || n.city WHEN kind = 'v6' THEN n.city END AS place
+      FROM addresses x LEFT JOIN named n ON n.k = CASE WHEN kind = 'v4' THEN b ELSE a END""",
+)
+def _(spark, sf):
+    """IPv4 and IPv6 addresses against nested ranges: one wide range, one per nation inside it, and one inside each of these."""
+    user = F.col("user_id")
+    a, b = (F.lower(F.hex(user % n)) for n in (97, 200))
+    ip = (
+        F.when(user % 4 == 1, F.concat(F.lit("2001:DB8:"), a, F.lit(":"), (user % 200 % 2).cast("string"), F.lit("::"), b))
+        .when(user % 4 == 2, F.concat(F.lit("2001:db8:"), a, F.lit(":"), (user % 200 % 2).cast("string"), F.lit(":0:0:0:"), b))
+        .when(user % 4 == 3, F.concat(F.lit("10."), (user % 200).cast("string"), F.lit(".0.7")))
+        .otherwise("no address")
+    )
+    rows = tables.load(spark, sf, "events").select(F.col("event_id").alias("id"), ip.alias("client_ip"))
+    nation, key = tables.load(spark, sf, "nation"), F.col("n_nationkey")
+    six, four = F.lower(F.hex(key)), key.cast("string")
+
+    def ranges(low, high, place):
+        return nation.select(F.concat(*low).alias("lo"), F.concat(*high).alias("hi"), F.concat(*place).alias("place"))
+
+    head, last, v4 = F.lit("2001:db8:"), F.lit(":ffff:ffff:ffff:ffff:ffff"), F.lit("10.")
+    all_ranges = (
+        nation.limit(1).select(F.lit("2001:db8::").alias("lo"), F.lit("2001:db8:ffff:ffff:ffff:ffff:ffff:ffff").alias("hi"), F.lit("rest").alias("place"))
+        .unionByName(ranges([head, six, F.lit("::")], [head, six, last], [F.col("n_name")]))
+        .unionByName(ranges([head, six, F.lit(":1::")], [head, six, F.lit(":1:ffff:ffff:ffff:ffff")], [F.lit("odd "), F.col("n_name")]))
+        .unionByName(ranges([v4, four, F.lit(".0.0")], [v4, four, F.lit(".255.255")], [F.lit("v4 "), F.col("n_name")]))
+    )
+    return addresses.locate(rows, all_ranges).select("id", "place")
+
+
 @query(
     "fan_out_dims",
     f"{ENRICHED}, {PAIRS} SELECT {day('ts')} AS day, dim, key, COUNT(*) AS count FROM pairs GROUP BY 1, 2, 3",
@@ -439,15 +502,16 @@ def _(spark, sf):
 @query(
     "label_events",
     f"""WITH {track()}, labels_of AS (
-        SELECT n_nationkey, ['view', 'click', 'signup', 'x', 'y'][1 + n_nationkey] AS name,
-               n_name AS display_name, 'cat' || n_regionkey AS category FROM nation WHERE n_nationkey < 5)
+        SELECT n_nationkey, CASE n_nationkey WHEN 0 THEN 'view' WHEN 1 THEN 'click' WHEN 2 THEN 'signup' ELSE 'x' || n_nationkey END AS name,
+               n_name AS display_name, 'cat' || n_regionkey AS category FROM nation)
       SELECT t.name, coalesce(l.display_name, t.name) AS display_name, l.category, COUNT(*) AS events
       FROM track_events t LEFT JOIN labels_of l ON l.name = t.name GROUP BY ALL""",
 )
 def _(spark, sf):
-    nations = tables.load(spark, sf, "nation").filter(F.col("n_nationkey") < 5)
+    nations = tables.load(spark, sf, "nation")
+    key = F.col("n_nationkey")
     declared = nations.select(
-        tables.pick(["view", "click", "signup", "x", "y"], F.col("n_nationkey")).alias("name"),
+        F.when(key == 0, "view").when(key == 1, "click").when(key == 2, "signup").otherwise(F.concat(F.lit("x"), key)).alias("name"),
         F.col("n_name").alias("display_name"),
         F.concat(F.lit("cat"), F.col("n_regionkey").cast("string")).alias("category"),
     )

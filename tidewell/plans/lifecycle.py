@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from tidewell.functions.times import day_key, month_key
@@ -9,7 +11,8 @@ from tidewell.operators import active, distribution, lifecycle
 from tidewell.plans.analytics import ACTIVITY, ENRICHED, PAIRS, _activity, _enriched
 from tidewell.plans.model_sql import day, errors, logs, track
 from tidewell.plans.registry import query
-from tidewell.sources import tables
+from tidewell.session import run_dir
+from tidewell.sources import facts, stored_rollup, tables
 
 NOW = "2024-01-31 00:00:00"
 BEFORE = "2024-01-12 07:30:00"
@@ -63,6 +66,39 @@ def _(spark, sf):
     return out
 
 
+@query(
+    "enforce_retention",
+    f"""WITH {logs(3)}, {track(3)}, left_logs AS (SELECT * FROM logs WHERE NOT (project_id = 1 AND ts < TIMESTAMP '2024-01-11')),
+        left_track AS (SELECT * FROM track_events WHERE NOT (project_id = 3 AND ts < TIMESTAMP '2024-01-26 12:00:00')
+          AND NOT (project_id = 1 AND ts < TIMESTAMP '2024-01-16 12:00:00'))
+      SELECT 'logs' AS source, CAST(project_id AS INTEGER) AS project_id, {day('ts')} AS day, COUNT(*) AS n FROM left_logs GROUP BY ALL
+      UNION ALL SELECT 'track_events', CAST(project_id AS INTEGER), {day('ts')}, COUNT(*) FROM left_track GROUP BY ALL
+      UNION ALL SELECT 'rollup', CAST(project_id AS INTEGER), {day('ts')}, COUNT(*) FROM left_track GROUP BY ALL
+      UNION ALL SELECT 'deleted', 3, '', COUNT(*) FROM track_events WHERE project_id = 3 AND ts < TIMESTAMP '2024-01-26 12:00:00'""",
+)
+def _(spark, sf):
+    """Policies on stored tables, with a cutoff inside a day; facts and rollup agree afterwards."""
+    path = run_dir(spark, "retention")
+    at = {name: f"{path}/{name}" for name in ("logs", "track_events")}
+    facts.write_facts(tables.track_logs(spark, sf, 3), at["logs"])
+    facts.write_facts(tables.track_events(spark, sf, 3), at["track_events"])
+    for project in (1, 2, 3):
+        stored_rollup.refresh_rollup(spark, at["track_events"], f"{path}/daily", project, date(2024, 1, 1), date(2024, 1, 31))
+    policies = [
+        spark.createDataFrame([(1, True, 20, 0), (2, False, 1, 1)], "project_id int, enabled boolean, logs_days int, track_events_days int"),
+        spark.createDataFrame([(1, True, 0, 15), (3, True, 0, 5)], "project_id int, enabled boolean, logs_days int, track_events_days int"),
+    ]
+    named = {name: (place, f"{name}_days") for name, place in at.items()}
+    done = [stored_rollup.enforce_retention(spark, named, f"{path}/daily", p, now) for p, now in zip(policies, (NOW, "2024-01-31 12:00:00"))]
+    daily = stored_rollup.read_rollup(spark, f"{path}/daily").groupBy("project_id", "day").agg(F.sum("events").alias("n"))
+    shown = daily.select(F.lit("rollup").alias("source"), "project_id", "day", "n")
+    for name, place in at.items():
+        counts = facts.read_facts(spark, place).groupBy("project_id", "day").agg(F.count(F.lit(1)).alias("n"))
+        shown = shown.unionByName(counts.select(F.lit(name).alias("source"), "project_id", "day", "n"))
+    deleted = done[1].filter("source = 'track_events' AND project_id = 3")
+    return shown.unionByName(deleted.select(F.lit("deleted").alias("source"), "project_id", F.lit("").alias("day"), F.col("deleted").alias("n")))
+
+
 @query(
     "apply_retention_rows",
     f"""WITH {track(3)} SELECT ingest_id FROM track_events WHERE NOT (project_id = 3 AND ts < TIMESTAMP '2024-01-26')""",
