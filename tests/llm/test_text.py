@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import brute
 import compare
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,10 +59,32 @@ def test_pairs_of_groups_are_proposed_once_and_whole(spark, monkeypatch):
         held[key].add(c)
     want = {(a, b) for cs in held.values() for a in cs for b in cs if a < b and a // 3 != b // 3}
     frame = spark.createDataFrame(rows, "key long, class long, component long").repartition(4)
-    for tile in (400, 7):
+    sets = {c: set(rng.sample(range(1000), 40)) if c % 2 else set(range(c, c + 40)) for c in range(60)}
+    about = [(c, sorted(s), bytes([1] * ngram_join.BINS) if c % 5 else None) for c, s in sets.items()]  # nothing is ruled out
+    about = spark.createDataFrame(about, "class long, elements array<bigint>, bins binary")
+    for tile, early in ((400, 100), (7, 100), (7, 2)):
         monkeypatch.setattr(ngram_join, "TILE", tile)
-        found = [tuple(x) for x in ngram_join.group_pairs(frame).collect()]
-        assert len(found) == len(set(found)) and set(found) == want
+        monkeypatch.setattr(ngram_join, "EARLY", early)
+        found = [tuple(x) for x in ngram_join.group_pairs(frame, about, 85).collect()]
+        assert set(found) == want and (early == 2 or len(found) == len(want))
+
+
+def test_bins_never_rule_out_a_link():
+    rng = np.random.default_rng(6)
+    sets = []
+    for size in (3, 40, 300, 5_000):
+        base = rng.integers(0, 2**63, size, np.uint64)
+        for share in (0, 0.02, 0.05, 0.08, 0.1, 0.2, 0.5):
+            other = base.copy()
+            other[: int(share * size)] = rng.integers(0, 2**63, int(share * size), np.uint64)
+            sets.append(np.unique(other))
+    bins = [np.bincount((ngram_join.mixed(s) >> np.uint64(40)).astype(np.int64) % ngram_join.BINS, minlength=ngram_join.BINS) for s in sets]
+    raw = [b.astype(np.uint8).tobytes() if b.max() < 255 else None for b in bins]
+    i, j = np.triu_indices(len(sets), 1)
+    may = ngram_join._could_link(raw, np.array([len(s) for s in sets]), i, j, 85)
+    both = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)])
+    linked = 100 * both >= 85 * (np.array([len(sets[a]) + len(sets[b]) for a, b in zip(i, j, strict=True)]) - both)
+    assert may[linked].all() and may.sum() < 2 * linked.sum()
 
 
 def test_ngram_join_of_documents(spark, documents, sf_dir):

@@ -20,8 +20,9 @@ Sets that share a signature are candidates, and then:
    HUB_ROUNDS times, whatever the size;
 3. what is left are members of one group in different components; these pairs are compared once each. Alike sets
    share many signatures, so a pair is proposed by the smallest one only: members carry their EARLY smallest signatures,
-   and a group leaves out pairs that share one of these below its own. Groups of more than TILE members are cut into
-   tiles that meet in pairs.
+   and a group leaves out pairs that share one of these below its own. Members also carry how many of their elements
+   fall into each of BINS bins of a hash: the smaller counts add up to at least the intersection, and a pair that could
+   not link even with as much in common leaves. Groups of more than TILE members are cut into tiles that meet in pairs.
 
 Comparisons are exact on 64-bit hashes of shingles. Copies are never paired, and groups are never collected: hubs are
 maxima, combined before the shuffle, and sets travel once per hub.
@@ -50,7 +51,8 @@ SPARE_SHARE = 24
 SCHEMES = 6
 SHORT = np.uint64(2**32 - 1)  # the part of an element by which holders are counted
 HUB_ROUNDS = 3
-EARLY = 16  # signatures that members of a group carry, to tell whether a smaller group has proposed a pair
+EARLY = 8  # signatures that members of a group carry, to tell whether a smaller group has proposed a pair
+BINS = 128
 TILE = 400  # members of one signature that meet others in one task
 
 SETS = "doc_id long, _row long, n_shingles long, class long, signatures array<bigint>"
@@ -182,11 +184,25 @@ def _elements(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
         right = pa.array([set_number(s) == c for s, c in zip(sets, batch.column(0).to_pylist(), strict=True)], pa.bool_())
         lists = pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))
         hidden = pa.array([len(s) - len(np.unique(s & SHORT)) for s in sets], pa.int64())
-        yield pa.RecordBatch.from_arrays([x.filter(right) for x in (batch.column(0), lists, hidden)], ["class", "elements", "hidden"])
+        counts = [np.bincount((mixed(s) >> np.uint64(40)).astype(np.int64) % BINS, minlength=BINS) for s in sets]
+        bins = pa.array([c.astype(np.uint8).tobytes() if c.max() < 255 else None for c in counts], pa.binary())  # null: too many
+        yield pa.RecordBatch.from_arrays([x.filter(right) for x in (batch.column(0), lists, hidden, bins)], ["class", "elements", "hidden", "bins"])
 
 
-def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (u, v) of each tile (key, crossing, members) in different components, unless a smaller early key has them."""
+def _could_link(bins: list[bytes | None], sizes: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Whether pairs may link, by an upper bound of their intersections."""
+    known = np.array([b is not None for b in bins])
+    counts = np.frombuffer(b"".join(b or bytes(BINS) for b in bins), np.uint8).reshape(-1, BINS)
+    out = np.ones(len(i), bool)
+    for a in range(0, len(i), 20_000):
+        x, y = i[a : a + 20_000], j[a : a + 20_000]
+        both = np.minimum(counts[x], counts[y]).sum(1, dtype=np.int64)
+        out[a : a + 20_000] = (100 * both >= percent * (sizes[x] + sizes[y] - both)) | ~known[x] | ~known[y]
+    return out
+
+
+def _propose(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs (u, v) of each tile (key, crossing, members) that may link, in different components, unless a smaller early key has them."""
     for batch in batches:
         out = []
         keys, crossings = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
@@ -195,6 +211,7 @@ def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = lists.flatten()
         classes, components_, second = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
         early = flat.field(3)
+        elements, bins = flat.field(4).to_numpy(zero_copy_only=False), flat.field(5).to_pylist()
         early_begins, early_sizes, early_keys = early.offsets.to_numpy()[:-1] - early.offsets[0].as_py(), np.diff(early.offsets.to_numpy()), early.flatten().to_numpy()
         for key, crossing, a, n in zip(keys.tolist(), crossings.tolist(), begins.tolist(), sizes.tolist(), strict=True):
             own = slice(a, a + n)
@@ -217,23 +234,31 @@ def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 has[owner[below][kept], place[column[kept]]] = 1
                 wanted &= has @ has.T == 0
             i, j = np.nonzero(wanted)
+            may = _could_link(bins[own], elements[own], i, j, percent)
+            i, j = i[may], j[may]
             out.append(np.stack([np.minimum(u[i], u[j]), np.maximum(u[i], u[j])]))
         pairs = np.concatenate(out, 1) if out else np.zeros((2, 0), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["u", "v"])
 
 
-def group_pairs(state: DataFrame) -> DataFrame:
-    """u, v: pairs of classes with a common key and different components, out of rows (key, class, component)."""
+def group_pairs(state: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """u, v: pairs of classes with a common key and different components that may link, out of rows (key, class, component).
+
+    sets has the number of elements and the bins of each class.
+    """
     early = state.groupBy("class").agg(F.slice(F.sort_array(F.collect_list("key")), F.lit(1), F.lit(EARLY)).alias("early"))  # signatures of one set
     sizes = state.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).where("tiles > 1")
-    rows = state.select("key", "class", "component").join(early, "class").join(sizes, "key", "left")
+    about = sets.select("class", F.size("elements").cast("long").alias("n"), "bins")
+    rows = state.select("key", "class", "component").join(early.join(about, "class"), "class").join(sizes, "key", "left")
     rows = rows.withColumn("tiles", F.coalesce("tiles", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("class"), F.col("tiles")).cast("int"))
     # A tile meets itself and each other one: as the first of a pair if its number is smaller.
     others = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, F.col("own")).alias("a"), F.greatest(t, F.col("own")).alias("b")))
     met = rows.withColumn("t", F.explode(others))
-    member = F.struct("class", "component", (F.col("own") == F.col("t.b")).alias("second"), "early")
+    member = F.struct("class", "component", (F.col("own") == F.col("t.b")).alias("second"), "early", "n", "bins")
     tiles = met.groupBy("key", "t.a", "t.b").agg(F.collect_list(member).alias("members"))  # two tiles at most
-    return tiles.where(F.size("members") > 1).select("key", (F.col("a") != F.col("b")).alias("crossing"), "members").mapInArrow(_propose, "u long, v long")
+    return tiles.where(F.size("members") > 1).select("key", (F.col("a") != F.col("b")).alias("crossing"), "members").mapInArrow(
+        partial(_propose, percent=percent), "u long, v long"
+    )
 
 
 def _by_key(rows: DataFrame) -> DataFrame:
@@ -267,7 +292,7 @@ def class_links(signed: DataFrame, docs: DataFrame, size: int, percent: int) ->
     members = groups.select("class").distinct()
     one = signed.groupBy("class").agg(F.min("_row").alias("_row")).join(members, "class")
     texts = docs.join(one, "_row").select("class", "text")
-    sets = texts.mapInArrow(partial(_elements, size=size), "class long, elements array<bigint>, hidden long")
+    sets = texts.mapInArrow(partial(_elements, size=size), "class long, elements array<bigint>, hidden long, bins binary")
     sets, sets_place = written(sets.dropDuplicates(["class"]), "candidate-sets")  # a repeated row is there more than once
 
     # 1. Elements that nobody else has. Two elements with one short key are counted once, so those of one set are added.
@@ -300,7 +325,7 @@ def class_links(signed: DataFrame, docs: DataFrame, size: int, percent: int) ->
             pairs = pairs.select(F.least("class", "h.class").alias("u"), F.greatest("class", "h.class").alias("v"))
             used = tight(stored(used.unionByName(hubs.select("h.class")).distinct()))
         else:
-            pairs = group_pairs(state)
+            pairs = group_pairs(state, sets, percent)
         pairs = tight(stored(pairs.distinct().join(done, ["u", "v"], "left_anti")))
         judged = tight(stored(compared(pairs, sets, percent)))
         done = done.unionByName(judged.select("u", "v"))
