@@ -1,65 +1,47 @@
 """Place lookup for IPv4 and IPv6 addresses: longest match over 128-bit ranges.
 
-An address is 32 hex digits; IPv4 lies in the mapped block of IPv6. Each range is cut into the fewest blocks that begin
+Distinct addresses are read as 32 hex digits; IPv4 lies in the mapped block of IPv6. Each range is cut into the fewest blocks that begin
 with the same digits, which turns the range join into an equality join on a prefix for each prefix length that occurs.
-Distinct addresses are looked up once each, so an address that many rows share is no hot key of the lookup, and the
-result is joined back as a balanced lookup. Of ranges that contain each other the smallest one wins.
+Each distinct address is read and looked up once, so an address that many rows share is no hot key of the lookup, and
+the result is joined back as a balanced lookup. Of ranges that contain each other the smallest one wins.
 """
 
 from __future__ import annotations
 
+import ipaddress
 import sys
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.skew import BROADCAST_ROWS, lookup_join
+from tidewell.session import written_once
 
 # Executors get this module's functions with the task and need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 DIGITS = 32
-#: The block of IPv6 that holds IPv4, and the forms of addresses.
-MAPPED = "0" * 20 + "ffff"
-OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-IPV4 = rf"^{OCTET}(?:\.{OCTET}){{3}}$"
-
-
-def _hex4(text: Column) -> Column:
-    """Dotted IPv4 as eight hex digits."""
-    return F.lower(F.array_join(F.transform(F.split(text, r"\."), lambda o: F.lpad(F.hex(o.cast("int")), 2, "0")), ""))
-
-
-def with_digits(rows: DataFrame, ip: str, name: str) -> DataFrame:
-    """Adds an IPv4 or IPv6 address as 32 hex digits; null for anything else. Zones and brackets are not accepted.
-
-    Worked out in steps, each of which uses the columns of the one before, so that nothing is evaluated twice.
-    """
-    kept = [F.col(f"`{c}`") for c in rows.columns]
-    text = rows.select(*kept, F.lower(F.trim(F.col(ip))).alias("_text"))
-    text = text.select(*kept, "_text", F.regexp_extract("_text", r":([0-9]+[.][0-9.]+)$", 1).alias("_tail"), F.col("_text").rlike(IPV4).alias("_v4"))
-    # A dotted tail stands for two groups.
-    four = F.when(F.col("_tail").rlike(IPV4), _hex4(F.col("_tail")))
-    whole = text.select(*kept, "_text", "_tail", "_v4", four.alias("_four"))
-    head = F.substr("_text", F.lit(1), F.length("_text") - F.length("_tail"))
-    plain = F.when(F.col("_tail") == "", F.col("_text")).otherwise(F.concat(head, F.substr("_four", F.lit(1), F.lit(4)), F.lit(":"), F.substr("_four", F.lit(5))))
-    halves = whole.select(*kept, "_text", "_v4", F.split(plain, "::", -1).alias("_halves"))
-
-    def groups(i: int) -> Column:
-        part = F.coalesce(F.get("_halves", F.lit(i)), F.lit(""))
-        return F.when(part == "", F.array().cast("array<string>")).otherwise(F.split(part, ":", -1))
-
-    sides = halves.select(*kept, "_text", "_v4", F.size("_halves").alias("_n"), groups(0).alias("_left"), groups(1).alias("_right"))
-    given = F.size("_left") + F.size("_right")
-    sides = sides.select(*kept, "_text", "_v4", "_n", "_left", "_right", given.alias("_given"))
-    formed = F.forall(F.concat("_left", "_right"), lambda g: g.rlike("^[0-9a-f]{1,4}$"))
-    good = formed & F.when(F.col("_n") == 2, F.col("_given") <= 7).otherwise((F.col("_n") == 1) & (F.col("_given") == 8))
-    zeros = F.array_repeat(F.lit("0"), F.greatest(8 - F.col("_given"), F.lit(0)))
-    six = F.array_join(F.transform(F.concat("_left", zeros, "_right"), lambda g: F.lpad(g, 4, "0")), "")
-    return sides.select(*kept, F.when(F.col("_v4"), F.concat(F.lit(MAPPED), _hex4(F.col("_text")))).when(good, six).alias(name))
+#: Fixed value: the block of IPv6 that holds IPv4.
+MAPPED = 0xFFFF << 32
+
+
+def digits(text: str | None) -> str | None:
+    """An IPv4 or IPv6 address as 32 hex digits; null for anything else. Zones and brackets are not accepted."""
+    try:
+        address = ipaddress.ip_address((text or "").strip())
+    except ValueError:
+        return None
+    if address.version == 6 and address.scope_id is not None:
+        return None
+    return f"{int(address) + (MAPPED if address.version == 4 else 0):032x}"
+
+
+def _read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for part in parts:
+        yield part.assign(_ip=part["_text"].map(digits))
 
 
 def blocks(low: int, high: int) -> Iterator[str]:
@@ -73,26 +55,26 @@ def blocks(low: int, high: int) -> Iterator[str]:
 
 
 def _cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The blocks of ranges: (_n, _prefix, _width). A range without two addresses in order has none."""
     for part in parts:
         rows = []
-        for n, low, high in zip(part["_n"], part["_lo"], part["_hi"]):
-            a, b = int(low, 16), int(high, 16)
-            rows += [(n, prefix, f"{b - a:032x}") for prefix in blocks(a, b)]
+        for n, low, high in zip(part["_n"], part["lo"].map(digits), part["hi"].map(digits)):
+            if low and high and low <= high:
+                a, b = int(low, 16), int(high, 16)
+                rows += [(n, prefix, f"{b - a:032x}") for prefix in blocks(a, b)]
         yield pd.DataFrame(rows, columns=["_n", "_prefix", "_width"])
 
 
 def locate(rows: DataFrame, ranges: DataFrame, ip: str = "client_ip", max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Rows with the further columns of the smallest range (lo, hi: address texts) that holds their address."""
     places = [c for c in ranges.columns if c not in ("lo", "hi")]
-    keyed = with_digits(with_digits(ranges, "lo", "_lo"), "hi", "_hi").where("_lo <= _hi").select(*places, "_lo", "_hi")
     # A range is named by its bounds: the same whenever a task is repeated.
-    keyed = keyed.withColumn("_n", F.concat("_lo", "_hi")).dropDuplicates(["_n"])
-    cut = keyed.select("_n", "_lo", "_hi").mapInPandas(_cut, "_n string, _prefix string, _width string")
+    keyed = ranges.where("lo IS NOT NULL AND hi IS NOT NULL").withColumn("_n", F.concat_ws("-", "lo", "hi")).dropDuplicates(["_n"])
+    cut = written_once(keyed.select("_n", "lo", "hi").mapInPandas(_cut, "_n string, _prefix string, _width string"))
     lengths = sorted(r[0] for r in cut.select(F.length("_prefix")).distinct().collect())  # 33 at most
     prefixes = F.explode(F.array(*[F.substring("_ip", 1, n) for n in lengths]) if lengths else F.array().cast("array<string>"))
-    read = with_digits(rows, ip, "_ip")
-    asked = read.select("_ip").where("_ip IS NOT NULL").distinct()
-    hit = asked.select("_ip", prefixes.alias("_prefix")).join(cut, "_prefix")
-    best = hit.groupBy("_ip").agg(F.min(F.struct("_width", "_n")).alias("_b")).select("_ip", F.col("_b._n").alias("_n"))
-    found = best.join(keyed.select("_n", *places), "_n").drop("_n")
-    return lookup_join(read, found, ["_ip"], "left", None, max_rows).drop("_ip")
+    asked = rows.select(F.col(ip).alias("_text")).where("_text IS NOT NULL").distinct()
+    hit = asked.mapInPandas(_read, "_text string, _ip string").select("_text", prefixes.alias("_prefix")).join(cut, "_prefix")
+    best = hit.groupBy("_text").agg(F.min(F.struct("_width", "_n")).alias("_b")).select("_text", F.col("_b._n").alias("_n"))
+    found = written_once(best.join(keyed.select("_n", *places), "_n").drop("_n"))
+    return lookup_join(rows.withColumn("_text", F.col(ip)), found, ["_text"], "left", None, max_rows).drop("_text")

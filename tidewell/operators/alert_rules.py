@@ -301,7 +301,7 @@ def fields_json() -> Column:
 
 
 def with_notification(matched: DataFrame, prefix: str = "[alert]") -> DataFrame:
-    """Adds title and content."""
+    """Adds title and content. Their wording and order, which receivers read."""
     head = F.format_string(
         "project_id=%d source=%s level=%s message=%s",
         F.col("project_id"), F.col("source"),
