@@ -284,13 +284,14 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(partial(_compare, percent=percent), "u long, v long, linked boolean")
 
 
-def class_links(signed: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """u, v: links between classes of different sets, enough to connect every component."""
-    rows = signed.select(F.explode("signatures").alias("key"), "class")
+def class_links(placed: DataFrame, groups: DataFrame, groups_place: str, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """u, v: links between classes of different sets, enough to connect every component.
+
+    placed has the class of each row, groups (stored at groups_place) the classes that share a signature.
+    """
     spark = docs.sparkSession
-    groups, groups_place = written(_by_key(rows).mapInArrow(_shared_runs, "key long, class long"), "signature-groups")
     members = groups.select("class").distinct()
-    one = signed.groupBy("class").agg(F.min("_row").alias("_row")).join(members, "class")
+    one = placed.groupBy("class").agg(F.min("_row").alias("_row")).join(members, "class")
     texts = docs.join(one, "_row").select("class", "text")
     sets = texts.mapInArrow(partial(_elements, size=size), "class long, elements array<bigint>, hidden long, bins binary")
     sets, sets_place = written(sets.dropDuplicates(["class"]), "candidate-sets")  # a repeated row is there more than once
@@ -350,13 +351,17 @@ def _placed(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFr
     """doc_id, _row, n_shingles and c (the component) of each row with words; doc_id and n_shingles of the others."""
     rows = with_row(id_and_text(docs)).select("doc_id", "_row", "text")
     signed, place = written(rows.mapInArrow(partial(_sign, size=size, percent=percent), SETS), "signatures")
-    links = class_links(signed, rows.select("_row", "text"), size, percent)
-    sets = signed.select("doc_id", "_row", "n_shingles", "class")
+    keys = signed.select(F.explode("signatures").alias("key"), "class")
+    groups, groups_place = written(_by_key(keys).mapInArrow(_shared_runs, "key long, class long"), "signature-groups")
+    # The signatures are the bulk; what is left of them are the groups.
+    sets, sets_place = written(signed.select("doc_id", "_row", "n_shingles", "class"), "classes")
+    discard(docs.sparkSession, place)
+    links = class_links(sets, groups, groups_place, rows.select("_row", "text"), size, percent)
     empty = sets.where("n_shingles = 0").select("doc_id", "n_shingles")
     placed = sets.where("n_shingles > 0").join(links, F.col("class") == F.col("u"), "left")
     placed = stored(placed.select("doc_id", "_row", "n_shingles", F.coalesce("v", "class").alias("c")))
     empty = stored(empty)
-    discard(docs.sparkSession, place)
+    discard(docs.sparkSession, sets_place)
     return placed, empty
 
 
