@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,12 +34,31 @@ def unfolded(df: DataFrame, docs: DataFrame) -> DataFrame:
     return df.select(*(F.col("text").cast(kind).alias("text") if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns))
 
 
+FREES_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the frames written in here go as soon as each is written, not when the driver collects garbage.
+
+    A stage that is retried meanwhile still finds or recomputes them; the session's own setting comes back afterwards.
+    """
+    before = spark.conf.get(FREES_SHUFFLES)
+    spark.conf.set(FREES_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FREES_SHUFFLES, before)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write a frame once to the shared checkpoint folder, for several readers; losing an executor loses nothing."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
+    with shuffles_freed(spark):
+        # The setting counts for frames made under it.
+        return df.select("*").checkpoint()
 
 
 TIGHT_ROWS = 200_000
@@ -97,7 +119,8 @@ def small_side(df: DataFrame, row_bytes: int) -> DataFrame:
 def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """Write a large intermediate table compressed to the shared folder; the frame that reads it and its place."""
     place = run_dir(df.sparkSession, label)
-    df.write.parquet(place)
+    with shuffles_freed(df.sparkSession):
+        df.select("*").write.parquet(place)
     return df.sparkSession.read.schema(df.schema).parquet(place), place
 
 
