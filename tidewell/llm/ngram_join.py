@@ -55,7 +55,7 @@ EARLY = 8  # signatures that members of a group carry, to tell whether a smaller
 BINS = 128
 TILE = 400  # members of one signature that meet others in one task
 
-SETS = "doc_id long, _row long, n_shingles long, class long, signatures array<bigint>"
+SETS = "doc_id long, _row long, n_shingles long, class long"
 
 
 def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -123,34 +123,41 @@ def signatures(sets: list[np.ndarray], percent: int) -> list[np.ndarray]:
     return [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in out]
 
 
-def _sign(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
-    seen: set[int] = set()  # classes of this task whose signatures are out already
+def _classes(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The size of each row's set, and its class."""
     for batch in batches:
-        counts, classes, new, at = [], [], [], []
-        lists: list[np.ndarray] = []
+        sets = [(len(s), set_number(s)) for s in shingle_sets(batch.column(2), size)]
+        counts, classes = (pa.array([x[i] for x in sets], pa.int64()) for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], counts, classes], ["doc_id", "_row", "n_shingles", "class"])
 
-        def flush():
-            for i, keys in zip(at, signatures(new, percent), strict=True):
-                lists[i] = keys.astype(np.int64)
-            new.clear()
-            at.clear()
 
-        for elements in shingle_sets(batch.column(2), size):
+def _sign(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """(key, class) for each signature of each set, once per class and task."""
+    seen: set[int] = set()  # classes of this task whose signatures are out already
+    new: list[np.ndarray] = []
+    classes: list[int] = []
+
+    def flush() -> pa.RecordBatch:
+        keys = signatures(new, percent)
+        owners = np.repeat(np.array(classes, np.int64), [len(k) for k in keys])
+        new.clear()
+        classes.clear()
+        flat = np.concatenate(keys).astype(np.int64) if keys else np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(flat), pa.array(owners)], ["key", "class"])
+
+    elements_held = 0
+    for batch in batches:
+        for elements in shingle_sets(batch.column(0), size):
             number = set_number(elements)
-            counts.append(len(elements))
-            classes.append(number)
-            lists.append(np.zeros(0, np.int64))
             if len(elements) and number not in seen:
                 seen.add(number)
                 new.append(elements)
-                at.append(len(lists) - 1)
-                if sum(map(len, new[-64:])) > 10**6 or len(new) >= 1000:
-                    flush()
-        flush()
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:2], pa.array(counts, pa.int64()), pa.array(classes, pa.int64()), pa.array(lists, pa.list_(pa.int64()))],
-            ["doc_id", "_row", "n_shingles", "class", "signatures"],
-        )
+                classes.append(number)
+                elements_held += len(elements)
+                if elements_held > 10**6 or len(new) >= 1000:
+                    yield flush()
+                    elements_held = 0
+    yield flush()
 
 
 def _shared_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,7 +309,9 @@ def class_links(placed: DataFrame, groups: DataFrame, groups_place: str, docs: D
     alive = sets.select("class", "hidden", F.size("elements").alias("n")).join(shared, "class")
     alive = alive.where(100 * (F.col("shared") + F.col("hidden")) >= percent * F.col("n"))
     alive = tight(stored(alive.select("class")))
-    sets = sets.join(alive, "class", "left_semi")
+    all_sets_place = sets_place
+    sets, sets_place = written(sets.join(alive, "class", "left_semi"), "alive-sets")
+    discard(spark, all_sets_place)
     groups = groups.join(alive, "class", "left_semi")
     degrees = groups.groupBy("class").agg(F.count("*").alias("degree"))
     groups = tight(stored(groups.join(degrees, "class")))
@@ -350,12 +359,10 @@ def with_row(docs: DataFrame) -> DataFrame:
 def _placed(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """doc_id, _row, n_shingles and c (the component) of each row with words; doc_id and n_shingles of the others."""
     rows = with_row(id_and_text(docs)).select("doc_id", "_row", "text")
-    signed, place = written(rows.mapInArrow(partial(_sign, size=size, percent=percent), SETS), "signatures")
-    keys = signed.select(F.explode("signatures").alias("key"), "class")
+    # The signatures are the bulk: they are only shuffled, never stored, so texts are read once for them and once for classes.
+    keys = rows.select("text").mapInArrow(partial(_sign, size=size, percent=percent), "key long, class long")
     groups, groups_place = written(_by_key(keys).mapInArrow(_shared_runs, "key long, class long"), "signature-groups")
-    # The signatures are the bulk; what is left of them are the groups.
-    sets, sets_place = written(signed.select("doc_id", "_row", "n_shingles", "class"), "classes")
-    discard(docs.sparkSession, place)
+    sets, sets_place = written(rows.mapInArrow(partial(_classes, size=size), SETS), "classes")
     links = class_links(sets, groups, groups_place, rows.select("_row", "text"), size, percent)
     empty = sets.where("n_shingles = 0").select("doc_id", "n_shingles")
     placed = sets.where("n_shingles > 0").join(links, F.col("class") == F.col("u"), "left")
