@@ -273,3 +273,25 @@ def test_state_is_kept_for_long_windows():
     assert alert_stream.idle_ms(30 * 86_400, 100, 0) == 30 * 86_400_000 + alert_stream.IDLE_MS
     assert alert_stream.idle_ms(60, 100 * SECOND, 1_000_000 * SECOND) == 999_900_000 + alert_stream.IDLE_MS
     assert alert_stream.idle_ms(60, 100, 0) == 60_000 + alert_stream.IDLE_MS
+
+
+def test_rule_paths_are_literals_in_the_plan(spark):
+    """A path that is a column would be parsed again for every row; beyond the limit it is one, with the same result."""
+    checks = '{"fieldsAll":[{"path":"a.b","op":"eq","value":7},{"path":"c","op":"exists"}]}'
+    rules = spark.createDataFrame([(1, 1, "r", True, "logs", checks, "{}", "{}")], schemas.RULES)
+    rows = [('{"a":{"b":7},"c":1}', "x"), ('{"a":{"b":8},"c":1}', "y"), ('{"a":{"b":7}}', "z")]
+    inputs = spark.createDataFrame(
+        [(i, 1, "logs", dt.datetime(2025, 1, 1), "info", "m", fields, {}) for fields, i in rows],
+        "row_id string, project_id int, source string, ts timestamp, level string, message string, fields string, ids map<string,string>",
+    )
+    found = alert_rules.match_rules(inputs, alert_rules.compile_rules(rules))
+    assert [r.row_id for r in found.select("row_id").collect()] == ["x"]
+    assert '$["a"]["b"]' in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_states_match_the_rows_once(spark, sf_dir):
+    """The segments behind the states are stored: the rules are not matched again for the sends."""
+    from tidewell.plans import alerts
+
+    plan = alerts._previews(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sha2") <= 4
