@@ -1,16 +1,20 @@
 """Operators 5, 8, 9 and 10, and the pipeline."""
 
+import os
 import random
 from collections import Counter, defaultdict
 
 import brute
 import compare
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidewell.llm import chat, components, ngram_join, pii, queries, suffix_dedup
+from tidewell.llm.common import freed
+from tidewell.session import BATCH_BYTES
 
 
 def frame(spark, docs):
@@ -308,3 +312,35 @@ def test_pipeline_stages(spark, documents, odd, none, sf_dir):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, sf_dir)
         assert (docs.count() > 0) == (start is odd)
+
+
+def test_pipeline_hands_long_texts_to_python_in_small_batches(spark):
+    def sizes_of(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["size"])
+
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 2000).alias("text"), F.lit("en").alias("lang"))
+    for _, stage in [x for x in corpus_pipeline.STAGES if x[0] != "personal_data"]:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        stage(spark, docs.limit(5), "")
+        sizes = [x.size for x in docs.mapInArrow(sizes_of, "size long").collect()]
+        assert sum(sizes) > 30_000_000 and max(sizes) <= BATCH_BYTES + 11_000  # a batch ends behind the row that reaches it
+
+
+def _resident():
+    with open("/proc/self/statm") as f:
+        return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+
+
+def test_batch_functions_give_memory_back_at_the_end_of_a_task():
+    kept = []
+
+    def work(batches):
+        held = [np.ones(12_000) for _ in range(3000)]  # 288 MB in pieces that the allocator keeps
+        kept.append(np.ones(12_000))  # at the end of the heap
+        yield from batches
+        del held
+
+    before = _resident()
+    assert list(freed(work)(iter([]))) == [] and len(kept) == 1
+    assert _resident() - before < 50_000_000

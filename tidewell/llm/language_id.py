@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tidewell.llm.common import folded, row_blocks, text_buffers, unfolded
+from tidewell.llm.common import folded, freed, row_blocks, text_buffers, unfolded
 
 DIMENSIONS = 1024
 N = 3
@@ -160,7 +160,7 @@ def train(labelled: DataFrame) -> dict[str, np.ndarray]:
     """Prototypes (unit vectors) by language from all rows of (text, lang) that have both."""
     rows = labelled.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     rows = rows.where("lang IS NOT NULL AND text IS NOT NULL")
-    parts = rows.mapInArrow(_bundles, "lang string, bundle array<bigint>")
+    parts = rows.mapInArrow(freed(_bundles), "lang string, bundle array<bigint>")
     sums = parts.select("lang", F.posexplode("bundle").alias("at", "value")).groupBy("lang", "at").agg(F.sum("value").alias("value"))
     whole = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("bundle"))
     out = {}
@@ -188,7 +188,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], key: str = "doc_
     """key, lang_pred and score of every row; only the text is looked at."""
     rows = docs.select(F.col(key).alias("key"), F.col("text").cast("string").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(partial(_predict, prototypes=prototypes), f"key {kind}, lang_pred string, score double").withColumnRenamed("key", key)
+    return rows.mapInArrow(freed(partial(_predict, prototypes=prototypes)), f"key {kind}, lang_pred string, score double").withColumnRenamed("key", key)
 
 
 def _with_language(batches: Iterator[pa.RecordBatch], prototypes: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +201,7 @@ def _with_language(batches: Iterator[pa.RecordBatch], prototypes: dict[str, np.n
 def with_language(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
     """The documents with their language and its score as two more columns, _lang and _score."""
     schema = StructType([*docs.schema.fields, StructField("_lang", StringType()), StructField("_score", DoubleType())])
-    return docs.mapInArrow(partial(_with_language, prototypes=prototypes), schema)
+    return docs.mapInArrow(freed(partial(_with_language, prototypes=prototypes)), schema)
 
 
 def _letters_of(text: Column) -> Column:

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import discard, id_and_text, mixed, row_blocks, stored, text_buffers, tight, written
+from tidewell.llm.common import discard, freed, id_and_text, mixed, row_blocks, stored, text_buffers, tight, written
 from tidewell.llm.components import components
 from tidewell.llm.words import MULTIPLIER, shingle_numbers, word_numbers
 
@@ -264,7 +264,7 @@ def group_pairs(state: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     member = F.struct("class", "component", (F.col("own") == F.col("t.b")).alias("second"), "early", "n", "bins")
     tiles = met.groupBy("key", "t.a", "t.b").agg(F.collect_list(member).alias("members"))  # two tiles at most
     return tiles.where(F.size("members") > 1).select("key", (F.col("a") != F.col("b")).alias("crossing"), "members").mapInArrow(
-        partial(_propose, percent=percent), "u long, v long"
+        freed(partial(_propose, percent=percent)), "u long, v long"
     )
 
 
@@ -288,7 +288,7 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("class").alias("u"), F.col("elements").alias("left"))
     right = sets.select(F.col("class").alias("v"), F.col("elements").alias("right"))
     both = pairs.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "left", "right")
-    return both.mapInArrow(partial(_compare, percent=percent), "u long, v long, linked boolean")
+    return both.mapInArrow(freed(partial(_compare, percent=percent)), "u long, v long, linked boolean")
 
 
 def class_links(placed: DataFrame, groups: DataFrame, groups_place: str, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -300,12 +300,12 @@ def class_links(placed: DataFrame, groups: DataFrame, groups_place: str, docs: D
     members = groups.select("class").distinct()
     one = placed.groupBy("class").agg(F.min("_row").alias("_row")).join(members, "class")
     texts = docs.join(one, "_row").select("class", "text")
-    sets = texts.mapInArrow(partial(_elements, size=size), "class long, elements array<bigint>, hidden long, bins binary")
+    sets = texts.mapInArrow(freed(partial(_elements, size=size)), "class long, elements array<bigint>, hidden long, bins binary")
     sets, sets_place = written(sets.dropDuplicates(["class"]), "candidate-sets")  # a repeated row is there more than once
 
     # 1. Elements that nobody else has. Two elements with one short key are counted once, so those of one set are added.
     spread = sets.select(F.explode("elements").alias("e"), "class").select(F.col("e").bitwiseAND(F.lit(int(SHORT))).alias("key"), "class")
-    shared = _by_key(spread).mapInArrow(_shared_runs, "key long, class long").groupBy("class").agg(F.count("*").alias("shared"))
+    shared = _by_key(spread).mapInArrow(freed(_shared_runs), "key long, class long").groupBy("class").agg(F.count("*").alias("shared"))
     alive = sets.select("class", "hidden", F.size("elements").alias("n")).join(shared, "class")
     alive = alive.where(100 * (F.col("shared") + F.col("hidden")) >= percent * F.col("n"))
     alive = tight(stored(alive.select("class")))
@@ -360,9 +360,9 @@ def _placed(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFr
     """doc_id, _row, n_shingles and c (the component) of each row with words; doc_id and n_shingles of the others."""
     rows = with_row(id_and_text(docs)).select("doc_id", "_row", "text")
     # The signatures are the bulk: they are only shuffled, never stored, so texts are read once for them and once for classes.
-    keys = rows.select("text").mapInArrow(partial(_sign, size=size, percent=percent), "key long, class long")
-    groups, groups_place = written(_by_key(keys).mapInArrow(_shared_runs, "key long, class long"), "signature-groups")
-    sets, sets_place = written(rows.mapInArrow(partial(_classes, size=size), SETS), "classes")
+    keys = rows.select("text").mapInArrow(freed(partial(_sign, size=size, percent=percent)), "key long, class long")
+    groups, groups_place = written(_by_key(keys).mapInArrow(freed(_shared_runs), "key long, class long"), "signature-groups")
+    sets, sets_place = written(rows.mapInArrow(freed(partial(_classes, size=size)), SETS), "classes")
     links = class_links(sets, groups, groups_place, rows.select("_row", "text"), size, percent)
     empty = sets.where("n_shingles = 0").select("doc_id", "n_shingles")
     placed = sets.where("n_shingles > 0").join(links, F.col("class") == F.col("u"), "left")

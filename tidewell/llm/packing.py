@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.chunks import library_encoder
-from tidewell.llm.common import id_and_text, ranges, stored
+from tidewell.llm.common import freed, id_and_text, ranges, stored
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 SALT_ROWS = 100_000  # rows that are numbered in one window, about
@@ -60,7 +60,7 @@ def _cut(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, most: i
 def cut(docs: DataFrame, tokenizer: str, end_id: int, most: int, with_ids: bool = False) -> DataFrame:
     """Pieces of at most ``most`` ids; with_ids adds the ids themselves."""
     work = partial(_cut, tokenizer=tokenizer, end_id=end_id, most=most, with_ids=with_ids)
-    return id_and_text(docs).mapInArrow(work, PIECE + (", ids array<int>" if with_ids else ""))
+    return id_and_text(docs).mapInArrow(freed(work), PIECE + (", ids array<int>" if with_ids else ""))
 
 
 def place_lengths(histogram: dict[int, int], most: int) -> list[tuple[int, list[int]]]:
@@ -189,7 +189,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, most: int = 2048, with_id
     places = Places(place_lengths(histogram, most))
     ranked = _ranked(pieces, sum(histogram.values()))
     schema = PIECE + (", ids array<int>" if with_ids else "") + ", sequence_id long, offset long"
-    return ranked.mapInArrow(partial(_placed, places=places), schema)
+    return ranked.mapInArrow(freed(partial(_placed, places=places)), schema)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

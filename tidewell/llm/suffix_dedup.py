@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import discard, folded, id_and_text, mixed, row_blocks, small_side, stored, text_buffers, unfolded, written
+from tidewell.llm.common import discard, folded, freed, id_and_text, mixed, row_blocks, small_side, stored, text_buffers, unfolded, written
 from tidewell.llm.words import MULTIPLIER, word_numbers
 
 PREFIX = 20
@@ -221,7 +221,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     rows = id_and_text(docs).where("text IS NOT NULL")
     rows = rows.select(_unit().alias("unit"), F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text")
     schema = "key long, unit long, place int, sent boolean, decided boolean"
-    suffixes, place = written(rows.select("unit", "text").mapInArrow(partial(_suffixes, min_words=min_words), schema), "suffixes")
+    suffixes, place = written(rows.select("unit", "text").mapInArrow(freed(partial(_suffixes, min_words=min_words)), schema), "suffixes")
 
     # Equal neighbours in the order of prefixes: a prefix that stands in two tasks, or twice in one.
     sent = suffixes.where("sent")
@@ -238,7 +238,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     texts = rows.join(anchors, ["unit", "id"]).select("unit", "id", "text", "places")
     schema = "hash long, id long, unit long, start int, end int, n long, sent boolean, holder long"
-    windows, place = written(texts.mapInArrow(partial(_windows, min_words=min_words), schema), "windows")
+    windows, place = written(texts.mapInArrow(freed(partial(_windows, min_words=min_words)), schema), "windows")
     sent = windows.where("sent").select("hash", "id", "unit", "start", "end", "n", "holder")
     best = sent.groupBy("hash").agg(F.sum("n").alias("total"), F.min(F.struct("id", "unit", "start")).alias("f")).where("total > 1")
     judged = sent.join(best, "hash").select(
@@ -248,12 +248,12 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     marks = judged.unionByName(later).groupBy("unit", "id").agg(
         F.collect_list(F.struct("start", "end", "kept", "holder")).alias("marks")  # of one document
     )
-    found = stored(marks.mapInArrow(_spans, SPANS))
+    found = stored(marks.mapInArrow(freed(_spans), SPANS))
     discard(spark, place)
 
     copies = small_side(stored(first.where("id < last").select("unit", F.col("id").alias("first"))), 16)
     whole = rows.join(copies, "unit")
-    spans = whole.select("unit", "text", "id").mapInArrow(partial(_whole_spans, min_words=min_words), "unit long, id long, start long, end long")
+    spans = whole.select("unit", "text", "id").mapInArrow(freed(partial(_whole_spans, min_words=min_words)), "unit long, id long, start long, end long")
     spans = spans.where("end >= 0").join(copies, "unit").distinct()
     whole_span = F.struct("start", "end", (F.col("id") == F.col("first")).alias("kept"), F.when(F.col("id") != F.col("first"), F.col("first")).alias("holder"))
     all_of_copies = spans.select("unit", "id", "first", F.array(whole_span).alias("whole"))
@@ -296,4 +296,4 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     keyed = folded(docs).withColumn("_unit", _unit()).withColumn("_id", F.coalesce(F.col("doc.doc_id").cast("long"), F.lit(NO_ID)))
     spans = spans.select(F.col("unit").alias("_unit"), F.col("id").alias("_id"), F.col("spans").alias("_spans"))
     joined = keyed.join(small_side(spans, 200), ["_unit", "_id"], "left").select("doc", "text", "_spans")
-    return unfolded(joined.mapInArrow(_cut, joined.drop("_spans").schema), docs)
+    return unfolded(joined.mapInArrow(freed(_cut), joined.drop("_spans").schema), docs)
