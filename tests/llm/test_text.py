@@ -344,3 +344,11 @@ def test_batch_functions_give_memory_back_at_the_end_of_a_task():
     before = _resident()
     assert list(freed(work)(iter([]))) == [] and len(kept) == 1
     assert _resident() - before < 50_000_000
+
+
+def test_places_of_contexts_are_joined_before_they_are_counted(spark):
+    contexts = spark.range(1).select(F.xxhash64(F.lit("a"), F.lit("b")).alias("context"))
+    found = pii._places(frame(spark, [(1, "a b a b c")]), contexts)
+    assert [x.places for x in found.collect()] == [2]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("Join")

@@ -202,9 +202,9 @@ def _places(docs: DataFrame, contexts: DataFrame) -> DataFrame:
     texts = docs.where("text IS NOT NULL").select(words.alias("words")).where(F.size("words") > 1)
     n = F.size("words") - 1
     pairs = texts.select(F.inline(F.arrays_zip(F.slice("words", F.lit(1), n).alias("a"), F.slice("words", F.lit(2), n).alias("b"))))
-    # Counted before the join, which then sees each pair of words once. An inner join: a semi join would be moved below the count.
-    counts = pairs.groupBy(F.xxhash64("a", "b").alias("context")).agg(F.count("*").alias("places"))
-    return counts.join(small_side(contexts.select("context"), 8), "context")
+    # Joined before they are counted: else each task holds and shuffles all pairs of words of the corpus, for few contexts.
+    met = pairs.select(F.xxhash64("a", "b").alias("context")).join(small_side(contexts.select("context"), 8), "context")
+    return met.groupBy("context").agg(F.count("*").alias("places"))
 
 
 def learn_patterns(found: DataFrame, docs: DataFrame, min_support: int = 5, min_confidence: float = 0.6, rounds: int = 3) -> DataFrame:
